@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import lines, mix, redeliver, split, tokenize
+from actlens.llm import lines, mix, neardup, redeliver, split, tokenize
 from actlens.session import table
 
 
@@ -21,6 +21,25 @@ def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, sf_dir, "admin_events"))
 
 
+#: Limits of problem 4 per table: id, text, words in a run, similarity, least distinct runs.
+ALIKE = {"notices": ("notice_id", "oggetto", 1, 0.7, 10), "admin_events": ("event_id", "raw_text", 3, 0.6, 30)}
+
+
+def _alike(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ident, text, run, threshold, least = ALIKE[name]
+    return neardup.similar_pairs(table(spark, sf_dir, name), ident, text, run=run, threshold=threshold, min_size=least)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [_alike(spark, sf_dir, n).select(F.lit(n).alias("tbl"), "id_a", "id_b") for n in ALIKE]
+    return found[0].unionByName(found[1])
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [neardup.group_pairs(_alike(spark, sf_dir, n)).select(F.lit(n).alias("tbl"), "record_id", "group_id", "links") for n in ALIKE]
+    return found[0].unionByName(found[1])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "admin_events")).where(F.col("piece_no") == 2).select("event_id").distinct()
 
@@ -45,7 +64,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p5_found, p5_pieces, p8_ids, p9_selection, p9_report)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p4_found, p4_groups, p5_found, p5_pieces, p8_ids, p9_selection, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:
