@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import lines, mix, neardup, redeliver, split, tokenize
+from actlens.llm import lines, mix, neardup, redeliver, residue, split, tokenize
 from actlens.session import table
 
 
@@ -63,8 +63,16 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(mix.select_mix(sized, plan), plan)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).where("excluded").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p4_found, p4_groups, p5_found, p5_pieces, p8_ids, p9_selection, p9_report)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p4_found, p4_groups, p5_found, p5_pieces, p8_ids, p9_selection, p9_report, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
