@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import lines, mix, neardup, redeliver, residue, split, tokenize
+from actlens.llm import lines, mix, names, neardup, redeliver, residue, split, tokenize
 from actlens.session import table
 
 
@@ -21,6 +21,19 @@ def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, sf_dir, "admin_events"))
 
 
+def _typed_names(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    events, extracted, nodes = (table(spark, sf_dir, n) for n in ("admin_events", "extracted_data", "graph_nodes"))
+    return [extracted.select("beneficiario_raw"), events.select(F.explode("actors.name")), nodes.where(F.col("node_type") == "RUP").select("label")]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(_typed_names(spark, sf_dir))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(names.spellings(_typed_names(spark, sf_dir)))
+
+
 #: Limits of problem 4 per table: id, text, words in a run, similarity, least distinct runs.
 ALIKE = {"notices": ("notice_id", "oggetto", 1, 0.7, 10), "admin_events": ("event_id", "raw_text", 3, 0.6, 30)}
 
@@ -72,7 +85,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p4_found, p4_groups, p5_found, p5_pieces, p8_ids, p9_selection, p9_report, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p3_found, p3_entities, p4_found, p4_groups, p5_found, p5_pieces, p8_ids, p9_selection, p9_report, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
