@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import lines, mix, names, neardup, redeliver, residue, split, tokenize
+from actlens.llm import lines, mix, names, neardup, redeliver, residue, scans, split, tokenize
 from actlens.session import table
 
 
@@ -61,6 +61,14 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "admin_events"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.find_damage(table(spark, sf_dir, "admin_events")).distinct()
+
+
+def p7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_paragraphs(table(spark, sf_dir, "admin_events"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -85,7 +93,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p3_found, p3_entities, p4_found, p4_groups, p5_found, p5_pieces, p8_ids, p9_selection, p9_report, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p3_found, p3_entities, p4_found, p4_groups, p5_found, p5_pieces, p7_found, p7_paragraphs, p8_ids, p9_selection, p9_report, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
