@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of the fitting sample of each kind (trusted residue, the rest), chosen by hash.
-SAMPLE_DOCS = 4_000
+#: The fitting sample: documents looked at (the share of the corpus with the least hashes that holds about so many), and taken of each kind.
+SCAN_DOCS, SAMPLE_DOCS = 30_000, 1_500
 EM_ROUNDS = 12
 #: Words that the record's feature counts for in each of its lines.
 RECORD_WEIGHT = 4
@@ -169,9 +169,16 @@ def _label_field(span: str, before: str) -> int:
 
 
 def fit_models(docs: DataFrame, id_col: str, text_col: str, *, sample_docs: int = SAMPLE_DOCS) -> tuple[Bayes, Bayes]:
-    """The field and the line model from at most ``sample_docs`` documents of trusted residue and as many others, by hash of their texts."""
+    """The field and the line model from at most ``sample_docs`` documents of trusted residue and as many others, by hash of their texts.
+
+    Only the fit rests on a sample of bounded size; the documents themselves are all scored.
+    """
     text = F.col("_text")
     rows = docs.select(F.col(text_col).cast("string").alias("_text")).where(F.length(F.trim(text)) > 0).select("_text", F.xxhash64("_text").alias("_h"))
+    steps = 1 << 20
+    share = min(1.0, SCAN_DOCS / max(docs.count(), 1))
+    if share < 1:
+        rows = rows.where(F.pmod("_h", F.lit(steps)) < int(share * steps))
     trusted = text.rlike(TRUSTED_LINES.pattern) | text.rlike(r"\{\{|\$\{|\{%|<%|%%\w+%%|\[\[|@@\w+@@|(?i)\b(?:inserire|da completare|tbd)\b|\bXX/XX/XXXX\b")
     picked = [[r["_text"] for r in rows.where(c).orderBy("_h").limit(sample_docs).collect()] for c in (trusted, ~trusted)]
     fields, lines = [], []
