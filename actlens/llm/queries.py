@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import lines, mix, names, neardup, redeliver, residue, scans, split, tokenize
+from actlens.llm import lines, mix, names, neardup, pii, redeliver, residue, scans, split, tokenize
 from actlens.session import table
 
 
@@ -34,13 +34,13 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.entities(names.spellings(_typed_names(spark, sf_dir)))
 
 
-#: Limits of problem 4 per table: id, text, words in a run, similarity, least distinct runs.
-ALIKE = {"notices": ("notice_id", "oggetto", 1, 0.7, 10), "admin_events": ("event_id", "raw_text", 3, 0.6, 30)}
+#: Limits of problem 4 per table: id, text, words in a run, similarity, least distinct runs; and the elements of anchors that replace crowded ones.
+ALIKE = {"notices": ("notice_id", "oggetto", 1, 0.7, 10, 4), "admin_events": ("event_id", "raw_text", 3, 0.6, 30, 2)}
 
 
 def _alike(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ident, text, run, threshold, least = ALIKE[name]
-    return neardup.similar_pairs(table(spark, sf_dir, name), ident, text, run=run, threshold=threshold, min_size=least)
+    ident, text, run, threshold, least, subset = ALIKE[name]
+    return neardup.similar_pairs(table(spark, sf_dir, name), ident, text, run=run, threshold=threshold, min_size=least, subset=subset)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,20 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "admin_events"))
 
 
+PERSONAL = {"admin_events": ("event_id", "raw_text"), "notices": ("notice_id", "oggetto")}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {n: table(spark, sf_dir, n).select(*c) for n, c in PERSONAL.items()}
+    lexicon = pii.learn_lexicon(tables["admin_events"].select("raw_text").unionAll(tables["notices"].select("oggetto")))
+    found = [pii.find_personal(tables[n], ident, text, lexicon=lexicon).select(F.lit(n).alias("tbl"), F.col(ident).alias("row_id"), "kind", "span") for n, (ident, text) in PERSONAL.items()]
+    return found[0].unionByName(found[1]).distinct()
+
+
+def p6_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(table(spark, sf_dir, "admin_events"), "event_id", "raw_text")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.find_damage(table(spark, sf_dir, "admin_events")).distinct()
 
@@ -93,7 +107,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p3_found, p3_entities, p4_found, p4_groups, p5_found, p5_pieces, p7_found, p7_paragraphs, p8_ids, p9_selection, p9_report, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_cleaned, p3_found, p3_entities, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_sanitised, p7_found, p7_paragraphs, p8_ids, p9_selection, p9_report, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
