@@ -6,7 +6,7 @@ import importlib
 
 from actlens.plans.registry import ORACLE, QUERIES, Query
 
-MODULES = ("audit",)
+MODULES = ("audit", "texts", "relations")
 
 
 def _load() -> None:

@@ -10,7 +10,7 @@ def list_of(c: Column) -> Column:
     """A list literal, or strings separated by ; or |, or one string, as an array; blank and null give an empty one."""
     s = F.trim(c)
     literal = F.from_json(F.replace(s, F.lit("'"), F.lit('"')), "array<string>")
-    parts = F.filter(F.transform(F.split(s, r"[;|]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(s, r"[;|]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.coalesce(s, F.lit("")) == "", F.array().cast("array<string>")).when(s.startswith("["), F.coalesce(literal, F.array().cast("array<string>"))).otherwise(parts)
 
 
