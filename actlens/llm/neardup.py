@@ -38,7 +38,7 @@ SPARE = {1: 4}
 SPARE_RUNS = 8
 #: Longs of a record's parity bitmap by the words in a run: sets of single words are small.
 BITMAP_LONGS = {1: 2}
-BITMAP_LONGS_RUNS = 8
+BITMAP_LONGS_RUNS = 5
 #: Records of one anchor up to which its pairs are compared directly; a larger one is replaced by anchors of two elements.
 ANCHOR_RECORDS = 60
 #: Ids (8 bytes each) up to which a set of them is sent to every executor instead of moving the texts.
@@ -257,12 +257,13 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
                     value.append(s)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(kept, pa.int64())), batch.column("b").take(pa.array(kept, pa.int64())), pa.array(value, pa.float64())], names=["a", "b", "similarity"])
 
-    linked = stored(left.select("a", "b", "_ta", "_tb").mapInArrow(verify, "a bigint, b bigint, similarity double"))
-    listed = stored(grouped.where((F.col("copies") <= CLASS_PAIRS) & (F.col("copies") > 1) | (F.col("_id") == F.col("head"))))
-    ma = listed.select(F.col("head").alias("a"), F.col("_id").alias("x"))
-    mb = listed.select(F.col("head").alias("b"), F.col("_id").alias("y"))
-    across = linked.join(ma, "a").join(mb, "b").select("x", "y", "similarity")
-    inside = listed.select("head", F.col("_id").alias("x")).join(listed.select("head", F.col("_id").alias("y")), "head").where(F.col("x") < F.col("y")).select("x", "y", F.lit(1.0).alias("similarity"))
+    linked = left.select("a", "b", "_ta", "_tb").mapInArrow(verify, "a bigint, b bigint, similarity double")
+    # only records with copies are looked up; a class of many copies stands for itself by its smallest
+    several = grouped.where((F.col("copies") > 1) & (F.col("copies") <= CLASS_PAIRS)).select("head", "_id")
+    several = _sent(several)
+    ma, mb = several.select(F.col("head").alias("a"), F.col("_id").alias("x")), several.select(F.col("head").alias("b"), F.col("_id").alias("y"))
+    across = linked.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "similarity")
+    inside = several.select("head", F.col("_id").alias("x")).join(several.select("head", F.col("_id").alias("y")), "head").where(F.col("x") < F.col("y")).select("x", "y", F.lit(1.0).alias("similarity"))
     spread = grouped.where((F.col("copies") > CLASS_PAIRS) & (F.col("_id") != F.col("head"))).select(F.col("head").alias("x"), F.col("_id").alias("y"), F.lit(1.0).alias("similarity"))
     every = across.unionByName(inside).unionByName(spread)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").distinct()
