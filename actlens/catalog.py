@@ -6,7 +6,7 @@ import importlib
 
 from actlens.plans.registry import ORACLE, QUERIES, Query
 
-MODULES = ("audit", "texts", "relations", "extraction")
+MODULES = ("audit", "texts", "relations", "extraction", "search")
 
 
 def _load() -> None:
