@@ -16,9 +16,8 @@ probability 0.8, so a ball that keeps 99 % of the pairs of a 23-bit Golay code h
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +47,8 @@ CLASS_PAIRS = 100
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _ROTATE = np.uint64(0xC2B2AE3D27D4EB4F)
-_words = regex.compile(WORD).findall
-_fast_words = re.compile(r"[^\W_]+").findall
-_odd = regex.compile(r"[\p{No}\p{Nl}]").search
+#: Characters hashed at a time.
+CHUNK = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,26 +56,47 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered; None for what holds a number sign that is no digit, at which words are cut."""
-
-    def __missing__(self, word: str) -> int | None:
-        import xxhash
-
-        if not word.isascii() and _odd(word):
-            return None
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        return h
-
-
-def word_hashes(text: str, memo: WordHashes) -> np.ndarray:
-    low = text.lower()
-    try:
-        return np.fromiter(map(memo.__getitem__, _fast_words(low)), np.uint64)
-    except TypeError:
-        return np.fromiter(map(memo.__getitem__, _words(low)), np.uint64)
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which code points belong to words, and the powers of the hash's base and of its inverse modulo 2^64."""
+    inside = np.zeros(0x110000, bool)
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000))
+    for m in regex.finditer(WORD, every):
+        inside[m.start() : m.end()] = True
+    base = 0x5851F42D4C957F2D
+    inverse = pow(base, -1, 1 << 64)
+    power = lambda x: np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(CHUNK, x, np.uint64))))
+    return inside, power(np.uint64(base)), power(np.uint64(inverse))
+
+
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """Of each text the 64-bit hashes of its words, lower-cased, in order; many texts are hashed together by prefix sums of one polynomial."""
+    out: list[np.ndarray] = []
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        low = text.lower()
+        if size + len(low) >= CHUNK and held:
+            out += _hashed(held)
+            held, size = [], 0
+        held.append(low)
+        size += len(low) + 1
+    return out + (_hashed(held) if held else [])
+
+
+def _hashed(lowered: list[str]) -> list[np.ndarray]:
+    inside, power, back = _tables()
+    codes = np.frombuffer(" ".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) > CHUNK:  # one very long text
+        power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(codes), power[1], np.uint64))))
+        back = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(codes), back[1], np.uint64))))
+    word = inside[codes]
+    edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint32(1)).astype(np.uint64) * power[: len(codes)], dtype=np.uint64)))
+    h = _mix((prefix[end] - prefix[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    starts = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+    return np.split(h, np.searchsorted(begin, starts[1:-1]))
 
 
 def element_hashes(w: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +133,9 @@ def _profile(rows: DataFrame, run: int, min_size: int, longs: int) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        memo = WordHashes()
         for batch in batches:
             ident, size, first, second, bits, seen = [], [], [], [], [], []
-            for key, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                w = word_hashes(text, memo)
+            for key, w in zip(batch.column("_id").to_pylist(), word_hashes(batch.column("_text").to_pylist()), strict=True):
                 h, _ = element_hashes(w, run)
                 seen.append(h if run == 1 else np.unique(w))
                 if len(h) >= min_size:
@@ -192,11 +209,9 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
     alone = grouped.where(F.col("_id") == F.col("head")).select("_id", "size", "bits")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             key, owner = [], []
-            for ident, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                w = word_hashes(text, memo)
+            for ident, w in zip(batch.column("_id").to_pylist(), word_hashes(batch.column("_text").to_pylist()), strict=True):
                 h, first = element_hashes(w, run)
                 f = frequency(w)
                 # an element is as rare as its rarest word; ties by hash
@@ -247,11 +262,10 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
     left = candidates.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             kept, value = [], []
-            for k, (x, y) in enumerate(zip(batch.column("_ta").to_pylist(), batch.column("_tb").to_pylist(), strict=True)):
-                s = _similar(element_hashes(word_hashes(x, memo), run)[0], element_hashes(word_hashes(y, memo), run)[0])
+            for k, (x, y) in enumerate(zip(*(word_hashes(batch.column(c).to_pylist()) for c in ("_ta", "_tb")), strict=True)):
+                s = _similar(element_hashes(x, run)[0], element_hashes(y, run)[0])
                 if s >= threshold - 1e-12:
                     kept.append(k)
                     value.append(s)
