@@ -42,7 +42,7 @@ def fold(events: DataFrame) -> DataFrame:
         F.coalesce(F.sum("value"), F.lit(0).cast("decimal(28,2)")).alias("total"),
         F.min("document_date").alias("starts"),
         F.max("document_date").alias("ends"),
-        F.min_by("title", "event_id").alias("title"),
+        F.min_by("title", F.when(F.col("title").isNotNull(), F.col("event_id"))).alias("title"),
         F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"),
     )
 
