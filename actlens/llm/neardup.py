@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from actlens.session import cut_lineage, stored
+from actlens.session import cut_lineage, ship, stored
 
 WORD = r"[\p{L}\p{Nd}]+"
 #: A word is common if this share of the records holds it; there are at most (mean distinct words) / share of them, a table of 16 bytes each.
@@ -191,6 +191,7 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
     member with similar classes, a larger one as each member with its smallest, which alone stands for it in pairs with other classes. Rows
     that repeat an id count once per id pair; an empty table gives no rows. ``subset`` is the number of elements of the anchors that replace crowded ones.
     """
+    ship(df.sparkSession)
     longs = BITMAP_LONGS.get(run, BITMAP_LONGS_RUNS)
     base = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
     profile = _profile(base, run, min_size, longs)

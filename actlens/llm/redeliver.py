@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actlens.session import cut_lineage
+from actlens.session import cut_lineage, ship
 
 #: Points of one shard and keys of one block of queries at most; they bound a task's memory.
 SHARD_POINTS, BLOCK_KEYS = 16_384, 4_096
@@ -63,6 +63,7 @@ def number_key(number: Column, kind: Column, title: Column) -> Column:
 
 def key_points(notices: DataFrame) -> DataFrame:
     """(``ente``, ``kind`` p/f/n, ``key``, ``notice_id``, ``batch_no``): the identifying keys of every notice, common files left out."""
+    ship(notices.sparkSession)
     base = notices.select(
         "notice_id",
         "batch_no",

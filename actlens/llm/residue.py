@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actlens.session import ship
+
 #: The fitting sample: documents looked at (the share of the corpus with the least hashes that holds about so many), and taken of each kind.
 SCAN_DOCS, SAMPLE_DOCS = 30_000, 1_500
 EM_ROUNDS = 12
@@ -227,6 +229,7 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines. Null, empty and blank texts hold neither and aren't excluded. Blanks of a form and ``[omissis]`` are content. Rows that repeat come out
     as often; other columns are ignored; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     fields, lines = fit_models(docs, id_col, text_col, sample_docs=sample_docs)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
@@ -246,4 +249,4 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``find_residue`` doesn't exclude, with all their columns; a row without an id stays."""
     gone = find_residue(docs, id_col, text_col).where("excluded").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

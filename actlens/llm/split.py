@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actlens.session import ship
+
 #: Ends of parts by level, coarsest first: the separator stays with the part before it.
 LEVELS = (
     re.compile(r"(?:\r?\n[ \t]*){3,}"),
@@ -64,6 +66,7 @@ def split_oversized(df: DataFrame, id_col: str = "event_id", text_col: str = "ra
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").isNotNull())
     kind = rows.schema["_id"].dataType.simpleString()
     long = F.length("_text") > limit

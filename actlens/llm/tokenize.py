@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actlens.session import ship
+
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pre-token pattern that belongs to the public vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -199,6 +201,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not os.path.isabs(tokenizer):
         raise ValueError("tokenizer must be an absolute path")
+    ship(df.sparkSession)
     picked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *keep)
     kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
     value = "n_tokens bigint" if counts_only else "ids array<int>"
