@@ -21,8 +21,8 @@ COMMON_GIVEN = frozenset(
 #: Short forms that are no piece of the full name (fixed values).
 NICKNAMES = {
     "mimmo": ("domenico",), "lele": ("emanuele", "gabriele", "raffaele", "daniele"), "pippo": ("filippo", "giuseppe"), "gigi": ("luigi",), "checco": ("francesco",), "franco": ("francesco",),
-    "gianni": ("giovanni",), "turi": ("salvatore",), "toto": ("salvatore", "antonio"), "nico": ("nicolo", "nicola", "domenico"), "toni": ("antonio",), "tony": ("antonio",), "beppe": ("giuseppe",),
-    "peppe": ("giuseppe",), "pino": ("giuseppe",), "giusy": ("giuseppina", "giuseppa"), "tina": ("concetta", "caterina", "valentina", "martina"), "enzo": ("vincenzo", "lorenzo"), "nino": ("antonio", "giovanni"),
+    "gianni": ("giovanni",), "nanni": ("giovanni",), "turi": ("salvatore",), "toto": ("salvatore", "antonio"), "nico": ("nicolo", "nicola", "domenico"), "toni": ("antonio",), "tony": ("antonio",), "beppe": ("giuseppe",),
+    "peppe": ("giuseppe",), "pino": ("giuseppe",), "giusy": ("giuseppina", "giuseppa"), "tina": ("concetta", "caterina", "valentina", "martina"), "enzo": ("vincenzo", "lorenzo"), "nino": ("antonio", "giovanni"), "tonino": ("antonio",), "vanni": ("giovanni",), "pina": ("giuseppina",), "memo": ("guglielmo",),
     "lisa": ("elisabetta",), "maddi": ("maddalena",), "ele": ("elena", "eleonora"), "bea": ("beatrice",), "ciccio": ("francesco",), "memmo": ("guglielmo", "domenico"), "gege": ("eugenia",), "dodo": ("edoardo",), "teo": ("teodoro", "matteo"),
 }
 #: Titles before a name (fixed values).
