@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import regex
 
@@ -46,7 +47,10 @@ _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SENTINELS = frozenset(("NON IDENTIFICATO", "DIVERSI/NON APPLICABILE", "NON APPLICABILE", "N/D", "ND", "N.D.", "DIVERSI", "NESSUNO", ""))
 
 
+@lru_cache(maxsize=1 << 16)
 def fold(word: str) -> str:
+    if word.isascii():
+        return word.lower()
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 

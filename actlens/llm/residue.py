@@ -9,6 +9,7 @@ models are fitted on a bounded sample; all documents are scored whole, and the p
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from actlens.session import ship
 
 #: The fitting sample: documents looked at (the share of the corpus with the least hashes that holds about so many), and taken of each kind.
-SCAN_DOCS, SAMPLE_DOCS = 30_000, 1_500
+SCAN_DOCS, SAMPLE_DOCS = 15_000, 1_500
 EM_ROUNDS = 12
 #: Words that the record's feature counts for in each of its lines.
 RECORD_WEIGHT = 4
@@ -51,8 +52,8 @@ FIELD = regex.compile(
     r"|(?<![\p{L}\p{N}])(?i:inserire|inserisci|indicare|completare|compilare|scrivere|specificare|sostituire|insert|einfügen|insérer)(?:\s+(?i:qui|here|hier|ici|il|la|lo|testo))+(?:\s+\p{L}+)?"
 )
 #: What a text must hold for any alternative of FIELD to match; spares the others the long pattern.
-_TRIGGER = regex.compile(r"[{\[<#$_…]|%[\p{L}%]|@@|XX|\.{5}|\((?i:\p{L}{2,12}(?:are|ere|ire)\b)|(?i:inserire|inserisci|indicare|completare|compilare|scrivere|specificare|sostituire|insert|einfügen|insérer)\s")
-_LETTERS = regex.compile(r"\p{L}+")
+_TRIGGER = re.compile(r"[{\[<#$…]|__|%[^\W\d_]|%%|@@|XX|\.{5}|\([^\W\d_]{2,12}[aei]re\b|\b(?:[Ii]nser|INSER|[Ii]ndicare|INDICARE|[Cc]omp(?:let|il)are|COMP(?:LET|IL)ARE|[Ss]crivere|SCRIVERE|[Ss]pecificare|SPECIFICARE|[Ss]ostituire|SOSTITUIRE|[Ee]inf|EINF|[Ii]nsér|INSÉR)")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = regex.compile(r"[\p{L}\p{N}_]+")
 _SPLIT = regex.compile(r"[\r\n]+|\s[|]\s")
 _MASK = regex.compile(r"^X[X/.:-]*$")
