@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actlens.session import stored
+
 SENTINELS = ("NON IDENTIFICATO", "DIVERSI/NON APPLICABILE")
 
 
@@ -53,7 +55,7 @@ def centrality(edge_rows: DataFrame) -> DataFrame:
     """(node_id, in_degree, out_degree, in_centrality, out_centrality, centrality) of the simple graph; degrees over n - 1."""
     e = simple(edge_rows)
     ends = e.select(F.col("src").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(e.select("dst", F.lit(0), F.lit(1)))
-    degree = ends.groupBy("node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    degree = stored(ends.groupBy("node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree")))  # read twice
     n = degree.agg((F.count(F.lit(1)) - 1).alias("_n"))
     share = lambda c: F.when(F.col("_n") > 0, F.round(c / F.col("_n"), 9)).otherwise(0.0)
     i, o = F.col("in_degree"), F.col("out_degree")
@@ -62,7 +64,7 @@ def centrality(edge_rows: DataFrame) -> DataFrame:
 
 def ego(edge_rows: DataFrame, start: str) -> DataFrame:
     """Edges among a node, its successors within two hops, its predecessors and their neighbours."""
-    e = simple(edge_rows)
+    e = stored(simple(edge_rows))  # read for each hop
     one = e.where(F.col("src") == start).select(F.col("dst").alias("n"))
     two = e.join(one, e["src"] == one["n"]).select(F.col("dst").alias("n"))
     back = e.where(F.col("dst") == start).select(F.col("src").alias("n"))

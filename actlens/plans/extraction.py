@@ -91,8 +91,7 @@ _SCORES = ", ".join(
     select event_id, case when v > 0 then n end as category, v as score, case when v = 0 then null when v = v2 then 'ambiguous' when v >= 4 then 'high' else 'medium' end as confidence from two"""
 )
 def category_score(spark: SparkSession, sf: str) -> DataFrame:
-    name, value, conf = extract.category(F.col("title"), F.col("raw_text"))
-    return table(spark, sf, "admin_events").select("event_id", name.alias("category"), value.alias("score"), conf.alias("confidence"))
+    return extract.categories(table(spark, sf, "admin_events"), "event_id", "title", "raw_text")
 
 
 @query("select event_id, " + _sql_case(extract.SUBCATEGORIES, "lower(coalesce(title, ''))", "null") + " as subcategory from admin_events")
