@@ -24,10 +24,10 @@ def prefixed(chunk: Column, **fields: Column) -> Column:
     return F.concat_ws("\n", F.nullif(F.concat_ws(". ", *parts), F.lit("")), chunk)
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, df, docs): the documents of every token, ascending. A token in very many documents is one long list; use ``posting_rows`` to keep it apart."""
+def postings(df: DataFrame, id_col: str, text_col: str, block: int = 1_000_000) -> DataFrame:
+    """(token, block, df, docs): the documents of every token, ascending, in lists of ``block`` consecutive ids, so that no list outgrows its bound."""
     rows = posting_rows(df, id_col, text_col)
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(id_col)).alias("docs"))
+    return rows.groupBy("token", F.floor(F.col(id_col) / block).alias("block")).agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(id_col)).alias("docs"))
 
 
 def posting_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

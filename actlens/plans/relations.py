@@ -13,12 +13,12 @@ from actlens.session import table
 
 
 @query(
-    """with files as (select notice_id, regexp_extract(unnest(allegati), '([^/?#]*)(?:[?#].*)?$', 1) as pdf_name from notices where ente = 'valtrembra'),
+    """with files as (select notice_id, regexp_extract(unnest(allegati), '([^/?#]*)(?:[?#].*)?$', 1) as pdf_name from notices),
     firsts as (select pdf_name, min(notice_id) as notice_id from files group by 1)
     select f.pdf_name, f.notice_id, coalesce(n.oggetto, n.titolo) as oggetto, coalesce(nullif(trim(n.tipologia), ''), 'unknown') as doc_type from firsts f left join notices n using (notice_id)"""
 )
 def metadata_merge(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "notices").where("ente = 'valtrembra'")
+    n = table(spark, sf, "notices")
     files = n.select("notice_id", F.explode("allegati").alias("link")).select("notice_id", F.regexp_extract("link", r"([^/?#]*)(?:[?#].*)?$", 1).alias("pdf_name"))
     firsts = joins.first_by(files, "pdf_name", "notice_id", ["notice_id"])
     meta = n.select("notice_id", F.coalesce("oggetto", "titolo").alias("oggetto"), F.coalesce(F.nullif(F.trim("tipologia"), F.lit("")), F.lit("unknown")).alias("doc_type"))
@@ -64,7 +64,7 @@ def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def fuzzy_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """Subjects of notices matched to the most similar title of an event."""
-    n = table(spark, sf, "notices").where("batch_no = 2 and oggetto is not null").select("notice_id", text.semantic_key(F.col("oggetto")).alias("key"))
+    n = table(spark, sf, "notices").where("oggetto is not null").select("notice_id", text.semantic_key(F.col("oggetto")).alias("key"))
     e = table(spark, sf, "admin_events").where("title is not null").select("event_id", text.semantic_key(F.col("title")).alias("key"))
     return joins.nearest_match(n, e, "notice_id", "event_id", "key", least=60.0)
 

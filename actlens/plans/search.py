@@ -25,16 +25,16 @@ def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fixed_chunks(_documents(spark, sf), "doc_id", "text", 1000, 100, 50)
 
 
-@query("select doc_id, concat_ws(chr(10), nullif(concat_ws('. ', 'Oggetto: ' || doc_type, 'Fonte: ' || source), ''), substring(text, 1, 200)) as page from documents where length(text) >= 50")
+@query("select doc_id, concat_ws(chr(10), nullif(concat_ws('. ', 'Oggetto: ' || doc_type, 'Fonte: ' || source), ''), text) as page from documents where length(text) >= 50")
 def corpus_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    page = retrieval.prefixed(F.substring("text", 1, 200), Oggetto=F.col("doc_type"), Fonte=F.col("source"))
+    page = retrieval.prefixed(F.col("text"), Oggetto=F.col("doc_type"), Fonte=F.col("source"))
     return _documents(spark, sf).where(F.length("text") >= 50).select("doc_id", page.alias("page"))
 
 
 _TOKENS = r"select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) as token from documents where text is not null and text <> ''"
 
 
-@query(f"select token, count(*) as df, list_sort(list(doc_id)) as docs from ({_TOKENS}) group by 1")
+@query(f"select token, doc_id // 1000000 as block, count(*) as df, list_sort(list(doc_id)) as docs from ({_TOKENS}) group by 1, 2")
 def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.postings(_documents(spark, sf), "doc_id", "text")
 
@@ -71,11 +71,11 @@ def extractive_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _VEC = """with d as (select q.vec_id as query_id, b.vec_id as vec_id, b.label as label, q.label as q_label,
-  round(list_sum(list_transform(list_zip(b.embedding, q.embedding), lambda p: (cast(p[1] as double) - cast(p[2] as double)) * (cast(p[1] as double) - cast(p[2] as double)))), 6) as distance from embeddings b, embeddings q where q.vec_id < 5)"""
+  round(list_sum(list_transform(list_zip(b.embedding, q.embedding), lambda p: (cast(p[1] as double) - cast(p[2] as double)) * (cast(p[1] as double) - cast(p[2] as double)))), 6) as distance from embeddings b, embeddings q where q.vec_id % 100 = 0)"""
 
 
 def _probes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
 
 
 @query(_VEC + " select query_id, vec_id, distance from (select *, row_number() over (partition by query_id order by distance, vec_id) as r from d) where r <= 6")
@@ -97,10 +97,10 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.tfidf(_documents(spark, sf), "doc_id", "text", 20, 0.8)
 
 
-@query("select cast(doc_id as varchar) as name, length(text) as size, sha256(text) as sha256, 'old' as side from documents where text is not null and text <> '' and doc_id % 10 = 0")
+@query("select cast(doc_id as varchar) as name, length(text) as size, sha256(text) as sha256, 'old' as side from documents where text is not null and text <> '' and lang is null")
 def index_trust(spark: SparkSession, sf: str) -> DataFrame:
-    m = retrieval.manifest(_documents(spark, sf), "doc_id", "text")
-    return retrieval.trusted(m, m.where(F.col("name").cast("bigint") % 10 != 0))
+    docs = _documents(spark, sf)
+    return retrieval.trusted(retrieval.manifest(docs, "doc_id", "text"), retrieval.manifest(docs.where("lang is not null"), "doc_id", "text"))
 
 
 @query()
@@ -133,17 +133,17 @@ def adapter_source(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.format("portal").option("pages", "3").option("page_size", "20").load().select("source", "external_id", "title", "content_hash")
 
 
-@query("select notice_id, titolo, numero, oggetto from notices where batch_no <= 2")
+@query("select notice_id, titolo, numero, oggetto from notices")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark)}/csv_round_trip"
-    table(spark, sf, "notices").where("batch_no <= 2").select("notice_id", "titolo", "numero", "oggetto").write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    table(spark, sf, "notices").select("notice_id", "titolo", "numero", "oggetto").write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return spark.read.csv(path, header=True, schema="notice_id bigint, titolo string, numero string, oggetto string", multiLine=True, escape='"', nullValue="\\N", emptyValue="")
 
 
-@query("select doc_id, source, text from documents where source = 'revisori'")
+@query("select doc_id, source, text from documents")
 def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark)}/jsonl_round_trip"
-    table(spark, sf, "documents").where("source = 'revisori'").select("doc_id", "source", "text").write.mode("overwrite").json(path)
+    table(spark, sf, "documents").select("doc_id", "source", "text").write.mode("overwrite").json(path)
     return tables.read_jsonl(spark, path, "doc_id bigint, source string, text string")
 
 
@@ -162,13 +162,13 @@ def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("select notice_id from (select notice_id, row_number() over (partition by notice_id order by crawled_at) as r from notices where batch_no < 4) where r = 1")
+@query("select notice_id from (select notice_id, row_number() over (partition by notice_id order by crawled_at) as r from notices) where r = 1")
 def stream_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """Batches delivered as files and read once by a stream without repeats."""
     from uuid import uuid4
 
     base = f"{shared_dir(spark)}/arrivals-{uuid4().hex}"
-    n = table(spark, sf, "notices").where("batch_no < 4").select("notice_id", F.col("crawled_at").cast("timestamp").alias("crawled_at"))
+    n = table(spark, sf, "notices").select("notice_id", F.col("crawled_at").cast("timestamp").alias("crawled_at"))
     n.write.parquet(f"{base}/in")
     n.write.mode("append").parquet(f"{base}/in")
     schema = spark.read.parquet(f"{base}/in").schema
@@ -189,9 +189,9 @@ def number_words(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select(F.expr("words_to_number_it(w)").alias("q"), "n")
 
 
-@query("select doc_id, cast(k + 1 as int) as chunk_no, substring(text, k * 900 + 1, 1000) as chunk from (select doc_id, text, unnest(range(0, greatest(cast(ceil((length(text) - 1000) / 900.0) as int), 0) + 1)) as k from documents where source = 'revisori' and length(text) > 0)")
+@query("select doc_id, cast(k + 1 as int) as chunk_no, substring(text, k * 900 + 1, 1000) as chunk from (select doc_id, text, unnest(range(0, greatest(cast(ceil((length(text) - 1000) / 900.0) as int), 0) + 1)) as k from documents where length(text) > 0)")
 def table_function(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     register_tables(spark)
-    _documents(spark, sf).where("source = 'revisori'").createOrReplaceTempView("_reviewed")
+    _documents(spark, sf).createOrReplaceTempView("_reviewed")
     return spark.sql("select doc_id, c.chunk_no, c.chunk from _reviewed, lateral windows_of(text, 1000, 100) c")

@@ -170,15 +170,15 @@ def metadata_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.groupBy("k").agg(F.min("notice_id").alias("notice_id"))
 
 
-@query("select notice_id from notices where batch_no = 3 and not exists (select 1 from notices h where h.batch_no < 3 and h.dettaglio_url = notices.dettaglio_url)")
+@query("select notice_id from notices where batch_no > 0 and not exists (select 1 from notices h where h.batch_no = 0 and h.dettaglio_url = notices.dettaglio_url)")
 def incremental_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "notices")
-    return dedup.unseen(n.where("batch_no = 3"), n.where("batch_no < 3"), "dettaglio_url").select("notice_id")
+    return dedup.unseen(n.where("batch_no > 0"), n.where("batch_no = 0"), "dettaglio_url").select("notice_id")
 
 
-@query("select notice_id from notices where batch_no = 1 and ente in (select ente from enti where popolazione > 10000)")
+@query("select notice_id from notices where ente in (select ente from enti where popolazione > 10000)")
 def semi_join(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "notices").where("batch_no = 1").join(table(spark, sf, "enti").where("popolazione > 10000"), "ente", "left_semi").select("notice_id")
+    return table(spark, sf, "notices").join(table(spark, sf, "enti").where("popolazione > 10000"), "ente", "left_semi").select("notice_id")
 
 
 @query("select tipologia from (select distinct lower(trim(tipologia)) as tipologia from notices where tipologia is not null) union select distinct lower(trim(document_type)) from admin_events where document_type is not null")
