@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import lines, mix, names, neardup, pii, redeliver, residue, scans, split, tokenize
+from actlens.llm import lines, mix, names, neardup, oracle, pii, redeliver, residue, scans, split, tokenize
 from actlens.session import table
 
 
@@ -111,4 +111,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.ORACLE)
