@@ -49,7 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut_lineage``, as a compressed table in the shared folder: for what is large, repetitive or read more than once."""
-    path = f"{shared_dir(df.sparkSession)}/actlens-{uuid.uuid4().hex}"
+    """Like ``cut_lineage``, as a compressed table in the shared folder: for what is large, repetitive or read more than once; removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/actlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.parquet(path)
