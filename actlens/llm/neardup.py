@@ -252,8 +252,11 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
     # The common elements up to the end of the fingerprint that ends first lie in both; the others lie beyond it. So the fingerprints must share
     # what a similarity of t needs beyond the longer rest. Crowded elements are counted from the subsets of them that the two share.
     met = compare(direct, 1, 0).unionByName(compare(replaced, 0, 1)).groupBy("a", "b", "size", "size_b").agg(F.max("crowd").alias("crowd"), F.sum("single").alias("single"), F.sum("several").alias("several"))
-    whole = F.array(*(F.lit(math.comb(c, taken)) for c in range(taken, 150)))
-    by_subsets = F.lit(spare - 1) + F.size(F.filter(whole, lambda x: x <= F.col("several")))
+    if taken == 2:  # the largest c with comb(c, 2) <= several
+        by_subsets = F.lit(spare - 2) + F.floor((F.lit(1) + F.sqrt(F.lit(1) + F.lit(8) * F.col("several"))) / 2)
+    else:  # beyond the table the subsets give no bound
+        whole = F.array(*(F.lit(math.comb(c, taken)) for c in range(taken, 150)))
+        by_subsets = F.when(F.col("several") < math.comb(149, taken), F.lit(spare - 1) + F.size(F.filter(whole, lambda x: x <= F.col("several"))))
     crowd = F.when(F.col("crowd") < spare, F.col("crowd")).otherwise(F.least("crowd", by_subsets))
     rest = lambda n: n - (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + F.lit(spare))
     needed = F.ceil((F.col("size") + F.col("size_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)) - F.greatest(rest(F.col("size")), rest(F.col("size_b")))

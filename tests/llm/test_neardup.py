@@ -41,6 +41,21 @@ def test_crowded_anchors_lose_nothing(spark, monkeypatch):
         assert found(df, "i", "t", run, threshold, least, subset) == brute(rows, run, threshold, least)
 
 
+def test_long_texts_that_share_crowded_anchors(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ANCHOR_RECORDS", 3)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(1400)]
+    rows = []
+    for i in range(6):
+        changed = set(rng.sample(range(len(base)), 45))
+        rows.append((i, " ".join(f"x{i}y{k}" if k in changed else w for k, w in enumerate(base))))
+    df = spark.createDataFrame(rows, "i long, t string")
+    expected = brute(rows, 3, 0.6, 30)
+    assert len(expected) == 15
+    for subset in (1, 2):
+        assert found(df, "i", "t", 3, 0.6, 30, subset) == expected
+
+
 def test_edges(spark, monkeypatch):
     long = " ".join(f"parola{i}" for i in range(40))
     rows = [(1, long), (2, long), (3, long.upper() + "!"), (4, None), (5, ""), (6, "corto"), (1, long), (None, long), (7, long * 200)]
