@@ -42,7 +42,7 @@ BITMAP_LONGS_RUNS = 5
 ANCHOR_RECORDS = 60
 #: Ids (8 bytes each) up to which a set of them is sent to every executor instead of moving the texts.
 SENT_IDS = 200_000
-#: Classes of equal sets up to this size are listed as all their pairs; a larger one as each member with the smallest.
+#: Unless every pair is asked for, classes of equal sets up to this size are listed as all their pairs; a larger one as each member with the smallest.
 CLASS_PAIRS = 100
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -183,12 +183,12 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, threshold: float, min_size: int, subset: int = 2) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, threshold: float, min_size: int, subset: int = 2, every: bool = False) -> DataFrame:
     """(``id_a``, ``id_b``, ``similarity``), id_a < id_b: all pairs of records whose sets of ``run`` successive words have a Jaccard similarity of at least ``threshold``.
 
     Words are maximal runs of letters and digits, lower-cased; texts are used whole. Null texts and texts with fewer than ``min_size`` distinct elements
-    are in no pair. Records with equal sets are one class: a class of up to ``CLASS_PAIRS`` records comes out as all its pairs and is paired member by
-    member with similar classes, a larger one as each member with its smallest, which alone stands for it in pairs with other classes. Rows
+    are in no pair. Records with equal sets are one class: with ``every`` all its pairs come out, and it is paired member by member with similar classes.
+    Without, this holds up to ``CLASS_PAIRS`` records; a larger class comes out as each member with its smallest, which alone stands for it in pairs with other classes. Rows
     that repeat an id count once per id pair; an empty table gives no rows. ``subset`` is the number of elements of the anchors that replace crowded ones.
     """
     ship(df.sparkSession)
@@ -276,15 +276,16 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(kept, pa.int64())), batch.column("b").take(pa.array(kept, pa.int64())), pa.array(value, pa.float64())], names=["a", "b", "similarity"])
 
     linked = left.select("a", "b", "_ta", "_tb").mapInArrow(verify, "a bigint, b bigint, similarity double")
-    # only records with copies are looked up; a class of many copies stands for itself by its smallest
-    several = grouped.where((F.col("copies") > 1) & (F.col("copies") <= CLASS_PAIRS)).select("head", "_id")
+    # only records with copies are looked up; unless every pair is asked for, a class of many copies stands for itself by its smallest
+    large = F.lit(False) if every else F.col("copies") > CLASS_PAIRS
+    several = grouped.where((F.col("copies") > 1) & ~large).select("head", "_id")
     several = _sent(several)
     ma, mb = several.select(F.col("head").alias("a"), F.col("_id").alias("x")), several.select(F.col("head").alias("b"), F.col("_id").alias("y"))
     across = linked.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "similarity")
     inside = several.select("head", F.col("_id").alias("x")).join(several.select("head", F.col("_id").alias("y")), "head").where(F.col("x") < F.col("y")).select("x", "y", F.lit(1.0).alias("similarity"))
-    spread = grouped.where((F.col("copies") > CLASS_PAIRS) & (F.col("_id") != F.col("head"))).select(F.col("head").alias("x"), F.col("_id").alias("y"), F.lit(1.0).alias("similarity"))
-    every = across.unionByName(inside).unionByName(spread)
-    return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").distinct()
+    spread = grouped.where(large & (F.col("_id") != F.col("head"))).select(F.col("head").alias("x"), F.col("_id").alias("y"), F.lit(1.0).alias("similarity"))
+    listed = across.unionByName(inside).unionByName(spread)
+    return listed.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").distinct()
 
 
 def group_pairs(pairs: DataFrame, rounds: int = 30) -> DataFrame:

@@ -40,7 +40,7 @@ ALIKE = {"notices": ("notice_id", "oggetto", 1, 0.7, 10, 4), "admin_events": ("e
 
 def _alike(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ident, text, run, threshold, least, subset = ALIKE[name]
-    return neardup.similar_pairs(table(spark, sf_dir, name), ident, text, run=run, threshold=threshold, min_size=least, subset=subset)
+    return neardup.similar_pairs(table(spark, sf_dir, name), ident, text, run=run, threshold=threshold, min_size=least, subset=subset, every=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import regex
 
-from actlens.llm import neardup
+from actlens.llm import neardup, queries
 
 WORDS = regex.compile(r"[\p{L}\p{Nd}]+").findall
 
@@ -67,6 +67,19 @@ def test_edges(spark, monkeypatch):
     assert star == {(1, 2), (1, 3)}
 
 
+def test_large_classes_come_out_whole(spark, tmp_path):
+    words = [f"parola{i}" for i in range(20)]
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample(words, len(words)))) for i in range(103)]  # one set, different texts
+    rows += [(200 + i, " ".join([*words, f"altra{i}"])) for i in range(2)]
+    spark.createDataFrame(rows, "notice_id long, oggetto string").write.parquet(f"{tmp_path}/notices.parquet")
+    spark.createDataFrame([], "event_id long, raw_text string").write.parquet(f"{tmp_path}/admin_events.parquet")
+    expected = brute(rows, 1, 0.7, 10)
+    assert len(expected) == 105 * 104 // 2
+    assert {(r["id_a"], r["id_b"]) for r in queries.p4_found(spark, str(tmp_path)).collect()} == expected
+    assert {r["links"] for r in queries.p4_groups(spark, str(tmp_path)).collect()} == {104}
+
+
 def test_groups(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "id_a long, id_b long")
     got = {r["record_id"]: (r["group_id"], r["links"]) for r in neardup.group_pairs(df).collect()}
