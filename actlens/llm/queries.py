@@ -64,15 +64,21 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 PERSONAL = {"admin_events": ("event_id", "raw_text"), "notices": ("notice_id", "oggetto")}
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _personal(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], pii.Lexicon]:
     tables = {n: table(spark, sf_dir, n).select(*c) for n, c in PERSONAL.items()}
-    lexicon = pii.learn_lexicon(tables["admin_events"].select("raw_text").unionAll(tables["notices"].select("oggetto")))
+    return tables, pii.learn_lexicon(tables["admin_events"].select("raw_text").unionAll(tables["notices"].select("oggetto")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables, lexicon = _personal(spark, sf_dir)
     found = [pii.find_personal(tables[n], ident, text, lexicon=lexicon).select(F.lit(n).alias("tbl"), F.col(ident).alias("row_id"), "kind", "span") for n, (ident, text) in PERSONAL.items()]
     return found[0].unionByName(found[1]).distinct()
 
 
 def p6_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.sanitise(table(spark, sf_dir, "admin_events"), "event_id", "raw_text")
+    tables, lexicon = _personal(spark, sf_dir)
+    clean = [pii.sanitise(tables[n], ident, text, lexicon=lexicon).select(F.lit(n).alias("tbl"), F.col(ident).alias("row_id"), F.col(text).alias("text")) for n, (ident, text) in PERSONAL.items()]
+    return clean[0].unionByName(clean[1])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
