@@ -48,12 +48,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and the path as its kind of object."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/actlens-{uuid.uuid4().hex}"
+    system, folder = file_system(spark, path)
+    system.deleteOnExit(folder)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut_lineage``, as a compressed table in the shared folder: for what is large, repetitive or read more than once; removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/actlens-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
