@@ -40,6 +40,8 @@ BITMAP_LONGS = {1: 2}
 BITMAP_LONGS_RUNS = 5
 #: Records of one anchor up to which its pairs are compared directly; a larger one is replaced by anchors of two elements.
 ANCHOR_RECORDS = 60
+#: An element is hot if its rarest word is in this share of the records; its rows are spread over so many parts.
+HOT_SHARE, HOT_PARTS = 0.05, 256
 #: Ids (8 bytes each) up to which a set of them is sent to every executor instead of moving the texts.
 SENT_IDS = 200_000
 #: Unless every pair is asked for, classes of equal sets up to this size are listed as all their pairs; a larger one as each member with the smallest.
@@ -164,9 +166,8 @@ def _profile(rows: DataFrame, run: int, min_size: int, longs: int) -> DataFrame:
     return stored(rows.mapInArrow(profile, PROFILE))
 
 
-def _common_words(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common_words(profile: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the common words and the number of records of each, from counts over all records (combined in each batch, then map-side)."""
-    total = profile.where(~F.col("word")).count()
     counts = profile.where("word").groupBy("id").agg(F.sum("n").alias("n"))
     counts = stored(counts.where(F.col("n") >= max(2, COMMON_SHARE * total)))
     least, share = 0, COMMON_SHARE
@@ -195,7 +196,9 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
     longs = BITMAP_LONGS.get(run, BITMAP_LONGS_RUNS)
     base = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
     profile = _profile(base, run, min_size, longs)
-    held = df.sparkSession.sparkContext.broadcast(_common_words(profile))
+    total = profile.where(~F.col("word")).count()
+    hot_records = max(ANCHOR_RECORDS + 1, HOT_SHARE * total)
+    held = df.sparkSession.sparkContext.broadcast(_common_words(profile, total))
 
     def frequency(words: np.ndarray) -> np.ndarray:
         known, counts = held.value
@@ -211,7 +214,7 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, owner = [], []
+            key, owner, hot = [], [], []
             for ident, w in zip(batch.column("_id").to_pylist(), word_hashes(batch.column("_text").to_pylist()), strict=True):
                 h, first = element_hashes(w, run)
                 f = frequency(w)
@@ -220,14 +223,17 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
                 order = np.argsort(rare, kind="stable")[: _allowed(len(h), threshold) + spare]
                 key.append(h[order].view(np.int64))
                 owner.append(np.full(len(order), ident, np.int64))
+                hot.append(np.where(rare[order] >= hot_records, rare[order], 0))
             if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(owner))], names=["key", "_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, owner, hot)], names=["key", "_id", "hot"])
 
     spare = min(SPARE.get(run, SPARE_RUNS), math.ceil(threshold * min_size - 1e-9))
     # copies take no part; their ids are few or the records are picked by a join
     copies = grouped.where(F.col("_id") != F.col("head")).select("_id")
-    marked = base.join(_sent(copies), "_id", "left_anti").mapInArrow(anchors, "key bigint, _id bigint")
-    counted = marked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(F.col("n") > 1)
+    marked = base.join(_sent(copies), "_id", "left_anti").mapInArrow(anchors, "key bigint, _id bigint, hot bigint")
+    # Elements whose words are all in many records aren't counted but taken as crowded, with their rarest word's count, and spread: no task gets all rows of one.
+    salt = F.when(F.col("hot") > 0, F.pmod(F.xxhash64("_id"), F.lit(HOT_PARTS))).otherwise(F.lit(0))
+    counted = marked.withColumn("_salt", salt).withColumn("n", F.greatest("hot", F.count(F.lit(1)).over(Window.partitionBy("key", "_salt")))).where(F.col("n") > 1)
     mine = Window.partitionBy("_id")
     known = counted.withColumn("_m", F.count(F.lit(1)).over(mine)).withColumn("_c", F.count(F.when(F.col("n") > ANCHOR_RECORDS, 1)).over(mine)).where(F.col("_m") >= spare)
     shared = stored(known.join(alone, "_id").select("key", "_id", "size", "n", F.col("_c").cast("int").alias("crowd"), *(F.col("bits")[i].alias(f"b{i}") for i in range(longs))))
