@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -20,15 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actlens.session import ship
+from actlens.session import cut_lineage, ship
 
-#: The fitting sample: documents looked at (the share of the corpus with the least hashes that holds about so many), and taken of each kind.
-SCAN_DOCS, SAMPLE_DOCS = 15_000, 1_500
+#: The fitting sample: documents of each kind (about so many, with the least hashes), their passages that reach the driver, and features of a passage.
+SAMPLE_DOCS, SAMPLE_PASSAGES, PASSAGE_FEATURES = 1_500, 40_000, 200
 EM_ROUNDS = 12
 #: Words that the record's feature counts for in each of its lines.
 RECORD_WEIGHT = 4
-#: First guess for unlabelled passages: field-like spans are rare in acts and mostly residue, lines are mostly content.
-FIELD_START, LINE_START = 0.7, 0.1
+#: First guess for unlabelled passages: field-like spans are rare in acts and mostly residue, lines are nearly always content.
+FIELD_START, LINE_START = 0.7, 0.01
 #: Log-odds of a field span and of a line from which it is residue.
 FIELD_ODDS, LINE_ODDS = 0.0, 0.0
 #: A record without a field left open is excluded if its residue lines outweigh its content lines by this factor, in words.
@@ -42,6 +41,8 @@ TRUSTED_LINES = regex.compile(
 )
 #: Marks that only templates use: seeds of the field model (fixed values).
 TRUSTED_FIELDS = regex.compile(r"\{\{|\$\{|\{%|<%|%%\w+%%|\[\[|@@\w+@@|(?i:\b(?:inserire|da completare|tbd|todo)\b)|\bXX/XX/XXXX\b|\[object ")
+#: The same for whole texts, as the JVM reads them (fixed values).
+TRUSTED_TEXTS = r"\{\{|\$\{|\{%|<%|%%\w+%%|\[\[|@@\w+@@|(?i)\b(?:inserire|da completare|tbd)\b|\bXX/XX/XXXX\b"
 #: Delimited or blank spans that are content: omissions, addresses spelled out, blanks of a form (fixed values).
 TRUSTED_CONTENT = regex.compile(r"(?i)^\[(?:omissis|at|chiocciola|dot|punto|sic|\.{3}|…)\]$|^[_.…]{3,}$")
 
@@ -130,13 +131,12 @@ class Bayes:
         return self.prior + sum(map(self.odds.__getitem__, features))
 
 
-def fit(passages: list[tuple[tuple[str, ...], int]], rounds: int = EM_ROUNDS, *, start: float, unseen: float, balanced: bool = False) -> Bayes:
-    """``passages``: (features, 1 trusted residue / -1 trusted content / 0 unlabelled). Repeated passages count by the root of their number.
+def fit(counted: dict[tuple[tuple[str, ...], int], int], rounds: int = EM_ROUNDS, *, start: float, unseen: float, balanced: bool = False) -> Bayes:
+    """``counted``: how often each passage was seen, as (features, 1 trusted residue / -1 trusted content / 0 unlabelled). Repeated passages count by the root of their number.
 
     ``balanced`` gives both classes the same mass and keeps the first guess as the prior, for passages of few features of which the trusted ones
     may be many or few.
     """
-    counted = Counter(passages)
     rows, labels = [p for p, _ in counted], np.array([y for _, y in counted])
     weight = np.sqrt(np.array([counted[k] for k in counted], float))
     names: dict[str, int] = {}
@@ -171,30 +171,40 @@ def _label_field(span: str, before: str) -> int:
     return 1 if TRUSTED_FIELDS.search(span) else 0
 
 
-def fit_models(docs: DataFrame, id_col: str, text_col: str, *, sample_docs: int = SAMPLE_DOCS) -> tuple[Bayes, Bayes]:
-    """The field and the line model from at most ``sample_docs`` documents of trusted residue and as many others, by hash of their texts.
+def fit_models(docs: DataFrame, text_col: str, *, sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> tuple[Bayes, Bayes]:
+    """The field and the line model from about ``sample_docs`` documents of trusted residue and as many others, by hash of their texts.
 
-    Only the fit rests on a sample of bounded size; the documents themselves are all scored.
+    Executors turn the sampled documents into passages and count equal ones; at most ``sample_passages`` of each kind, by hash, reach the driver, none
+    of more than ``PASSAGE_FEATURES`` features. Only the fit rests on a sample of bounded size; the documents themselves are all scored.
     """
-    text = F.col("_text")
-    rows = docs.select(F.col(text_col).cast("string").alias("_text")).where(F.length(F.trim(text)) > 0).select("_text", F.xxhash64("_text").alias("_h"))
+    rows = docs.select(F.col(text_col).cast("string").alias("_text")).where(F.length(F.trim("_text")) > 0)
+    rows = rows.select("_text", F.xxhash64("_text").alias("_h"), (F.col("_text").rlike(TRUSTED_LINES.pattern) | F.col("_text").rlike(TRUSTED_TEXTS)).alias("_trusted"))
+    # one pass counts both kinds, a second one reads the shares of them that hold about ``sample_docs`` documents each
+    known = {r["_trusted"]: r["count"] for r in rows.groupBy("_trusted").count().collect()}
     steps = 1 << 20
-    share = min(1.0, SCAN_DOCS / max(docs.count(), 1))
-    if share < 1:
-        rows = rows.where(F.pmod("_h", F.lit(steps)) < int(share * steps))
-    trusted = text.rlike(TRUSTED_LINES.pattern) | text.rlike(r"\{\{|\$\{|\{%|<%|%%\w+%%|\[\[|@@\w+@@|(?i)\b(?:inserire|da completare|tbd)\b|\bXX/XX/XXXX\b")
-    picked = [[r["_text"] for r in rows.where(c).orderBy("_h").limit(sample_docs).collect()] for c in (trusted, ~trusted)]
-    fields, lines = [], []
-    for texts in picked:
-        for t in texts:
-            fields += [(tuple(field_features(*s)), _label_field(s[0], s[1])) for s in field_spans(t)]
-            parts = lines_of(t)
-            act = _looks_like_act(t)
-            record = record_feature(t)
-            for x in parts:
-                label = 1 if TRUSTED_LINES.search(x) and not act else -1 if act else 0
-                lines.append((tuple(line_features(x, record)[0]), label))
-    return fit(fields, start=FIELD_START, unseen=0.0, balanced=True), fit(lines, start=LINE_START, unseen=-0.5)
+    share = {k: int(min(1.0, sample_docs / max(known.get(k, 0), 1)) * steps) for k in (True, False)}
+    picked = rows.where(F.pmod("_h", F.lit(steps)) < F.when(F.col("_trusted"), share[True]).otherwise(share[False])).select("_text")
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column("_text").to_pylist():
+                out += [(True, field_features(*s), _label_field(s[0], s[1])) for s in field_spans(t)]
+                record = record_feature(t)
+                for x in lines_of(t):
+                    out.append((False, line_features(x, record)[0], _label_line(x, record)))
+            out = [o for o in out if len(o[1]) <= PASSAGE_FEATURES]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.list_(pa.string())), pa.array([o[2] for o in out], pa.int32())], names=["field", "features", "label"])
+
+    counted = picked.mapInArrow(passages, "field boolean, features array<string>, label int").groupBy("field", "features", "label").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut_lineage(counted.withColumn("_h", F.xxhash64("features", "label")))
+    seen = [{(tuple(r["features"]), r["label"]): r["n"] for r in counted.where(c).orderBy("_h").limit(sample_passages).collect()} for c in (F.col("field"), ~F.col("field"))]
+    return fit(seen[0], start=FIELD_START, unseen=0.0, balanced=True), fit(seen[1], start=LINE_START, unseen=-0.5)
+
+
+def _label_line(line: str, record: str) -> int:
+    """Trusted residue is what holds a trusted phrase outside acts; every other line is unlabelled."""
+    return 1 if TRUSTED_LINES.search(line) and not record.startswith("<act>") else 0
 
 
 #: What every act has: a heading with number and date, a subject, or a clause that disposes (fixed values).
@@ -231,7 +241,7 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as often; other columns are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
-    fields, lines = fit_models(docs, id_col, text_col, sample_docs=sample_docs)
+    fields, lines = fit_models(docs, text_col, sample_docs=sample_docs)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast((fields, lines))
