@@ -80,6 +80,26 @@ def contains_any(c: Column, needles: Sequence[str]) -> Column:
     return out
 
 
+#: Stands around every sign that belongs to no word.
+_EDGE = "\u0001"
+
+
+def edged(c: Column) -> Column:
+    """Lower-cased text in which every sign outside words is marked, so that ``has_words`` finds whole words by plain search."""
+    return F.concat(F.lit(_EDGE), F.regexp_replace(F.lower(c), r"([^\p{L}\p{N}_])", f"{_EDGE}$1{_EDGE}"), F.lit(_EDGE))
+
+
+def has_words(edged_text: Column, words: str) -> Column:
+    """Whether the words occur, in any case, not as parts of other words."""
+    marked = "".join(x if x.isalnum() or x == "_" else f"{_EDGE}{x}{_EDGE}" for x in words.lower())
+    return edged_text.contains(f"{_EDGE}{marked}{_EDGE}")
+
+
+def keyword_hits(c: Column, words: Sequence[str]) -> Column:
+    """Those of ``words`` that occur as whole words."""
+    return F.array_compact(F.array(*(F.when(has_words(c, w), F.lit(w)) for w in words)))
+
+
 def first_label(c: Column, rules: Sequence[tuple[str, Sequence[str]]], default: Column) -> Column:
     """The label of the first rule of which a needle occurs in ``c``."""
     out = None
@@ -113,7 +133,13 @@ PAYEE_AFFIXES = r"\b(PROFESSIONISTA|DITTA|IMPRESA|SOCIETA|S\.?R\.?L\.?S?|S\.?P\.
 #: Titles and roles around an officer's name (fixed values).
 OFFICER_AFFIXES = r"\b(DOTT|DR|SSA|IL RESPONSABILE|DEL SERVIZIO|F\.TO|IL SEGRETARIO|IL SINDACO|GEOM|ARCH|ING|AVV)\b"
 #: Phrases that make a string no officer (fixed values).
-NO_OFFICER = ("VISTO", "VISTA", "PREMESSO", "DECRETO", "FUNZIONI", "AI SENSI", "LA GIUNTA", "IL CONSIGLIO", "DELIBERAZIONE", "DETERMINAZIONE", "REGOLAMENTO", "DIPENDENTE", "PRO TEMPORE")
+NO_OFFICER = (
+    "VISTO", "VISTA", "VISTI", "PREMESSO", "ACCERTATA", "SULLA BASE",
+    "DECRETO", "FUNZIONI", "AI SENSI", "LA GIUNTA", "DI ADOTTARE", "IL CONSIGLIO",
+    "HA ADOTTATO", "DELIBERAZIONE", "DETERMINAZIONE", "COMPETENZA", "MUNICIPIO",
+    "URBANISTICO", "REGOLAMENTO", "PROMOZIONE", "FINANZIARIA", "NAZIONALE",
+    "RIPRESA", "CENSIMENTO", "DIPENDENTE", "CONCESSO", "CHE CON", "PRO TEMPORE",
+)
 
 
 def _cleaned(c: Column) -> Column:

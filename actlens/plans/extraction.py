@@ -80,7 +80,7 @@ def doc_type_infer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SCORES = ", ".join(
-    "{'n': '" + n + "', 'v': " + " + ".join(f"4 * contains(s, '{w}')::int + contains(b, '{w}')::int" for w in ws) + "}" for n, ws in extract.CATEGORIES.items()
+    "{'n': '" + n + "', 'v': " + " + ".join(f"{k} * regexp_matches({c}, '(?:^|[^\\p{{L}}\\p{{N}}_]){w.lower()}(?:[^\\p{{L}}\\p{{N}}_]|$)')::int" for w in ws for c, k in (("s", 4), ("b", 1))) + "}" for n, ws in extract.CATEGORIES.items()
 )
 
 
