@@ -6,7 +6,7 @@ import importlib
 
 from actlens.plans.registry import ORACLE, QUERIES, Query
 
-MODULES = ("audit", "texts", "relations", "extraction", "search", "records", "documents")
+MODULES = ("audit", "texts", "relations", "extraction", "search", "records", "documents", "sinks")
 
 
 def _load() -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +10,6 @@ from actlens.session import stored
 SENTINELS = ("NON IDENTIFICATO", "DIVERSI/NON APPLICABILE")
 
 
-def _edge(acts: DataFrame, src: Column, dst: Column, relation: Column | str, amount: Column | None = None) -> DataFrame:
-    rel = F.lit(relation) if isinstance(relation, str) else relation
-    value = (amount if amount is not None else F.lit(None)).cast("decimal(18,2)")
-    return acts.select(src.alias("src"), dst.alias("dst"), rel.alias("relation"), value.alias("amount")).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-
-
 def _id(prefix: str, c: Column) -> Column:
     clean = F.nullif(F.trim(c), F.lit(""))
     return F.when(~clean.isin(*SENTINELS), F.concat(F.lit(f"{prefix}:"), clean))
@@ -27,13 +19,15 @@ def edges(acts: DataFrame) -> DataFrame:
     """Multi-edges of acts (atto_group, responsabile, beneficiario, cig, capitolo, doc_type, importo): officer-act, act-payee, act-CIG, act-chapter."""
     act = _id("ATTO", F.col("atto_group"))
     pays = F.when(F.col("doc_type").isin("Determinazione", "VistoContabile"), "LIQUIDA").otherwise("AFFIDA")
-    parts = [
-        _edge(acts, _id("RUP", F.col("responsabile")), act, "FIRMA_O_GESTISCE"),
-        _edge(acts, act, _id("BEN", F.col("beneficiario")), pays, F.col("importo")),
-        _edge(acts, act, _id("CIG", F.upper("cig")), "RIFERISCE_A"),
-        _edge(acts, act, _id("CAP", F.col("capitolo").cast("string")), "GRAVA_SU"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    none = F.lit(None).cast("decimal(18,2)")
+    edge = lambda src, dst, relation, amount=none: F.struct(src.alias("src"), dst.alias("dst"), relation.alias("relation"), amount.cast("decimal(18,2)").alias("amount"))
+    made = F.array(
+        edge(_id("RUP", F.col("responsabile")), act, F.lit("FIRMA_O_GESTISCE")),
+        edge(act, _id("BEN", F.col("beneficiario")), pays, F.col("importo")),
+        edge(act, _id("CIG", F.upper("cig")), F.lit("RIFERISCE_A")),
+        edge(act, _id("CAP", F.col("capitolo").cast("string")), F.lit("GRAVA_SU")),
+    )
+    return acts.select(F.inline(made)).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
 
 
 def nodes(edge_rows: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlens.functions import text
+from actlens.session import ship, stored
 
 
 def fixed_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 3000, overlap: int = 300, least: int = 1) -> DataFrame:
@@ -61,10 +64,61 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Probes compared with the vectors at a time, and blocks of them sent to every executor at once; more are met by a join on the block's number.
+PROBE_BLOCK, SENT_BLOCKS = 512, 16
+
+
 def vector_top(base: DataFrame, probes: DataFrame, id_col: str, vector: str, k: int = 6) -> DataFrame:
-    """(query_id, id, distance): the k nearest vectors of each probe. ``probes`` (query_id, probe) is a stated set of few rows that is sent to the vectors in blocks."""
-    rows = base.join(F.broadcast(probes)).select("query_id", id_col, F.round(distance(F.col(vector), F.col("probe")), 6).alias("distance"))
-    return _best(rows, "query_id", F.asc("distance"), id_col, k)
+    """(query_id, id, distance): the k nearest vectors of each probe. ``probes`` (query_id, probe) meet the vectors in blocks: a batch of vectors and a block are
+    scored by one matrix product, of which each probe keeps its k best before anything is shuffled. Null vectors are near nothing; vectors have one length."""
+    n = probes.count()
+    cut = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // PROBE_BLOCK))))
+    blocks = probes.where(F.col("probe").isNotNull()).groupBy(cut.alias("_block")).agg(F.collect_list(F.struct("query_id", F.col("probe").cast("array<double>").alias("probe"))).alias("_probes"))
+    few = n <= PROBE_BLOCK * SENT_BLOCKS
+    ids = base.schema[id_col].dataType.simpleString()
+    asked = probes.schema["query_id"].dataType.simpleString()
+    rows = base.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    ship(base.sparkSession)
+
+    def score(batches: Iterator[pd.DataFrame], names: list, q: np.ndarray) -> Iterator[pd.DataFrame]:
+        norms = (q * q).sum(axis=1)
+        for batch in batches:
+            x = np.stack(batch["_v"].to_numpy())
+            d = np.maximum(norms[:, None] + (x * x).sum(axis=1)[None, :] - 2 * q @ x.T, 0)
+            # the product finds the best; their distances are computed exactly
+            m = min(k + 4, d.shape[1])
+            best = np.argpartition(d, m - 1, axis=1)[:, :m]
+            exact = ((x[best] - q[:, None, :]) ** 2).sum(axis=2)
+            order = np.lexsort((batch["_id"].to_numpy()[best], exact), axis=1)[:, :k]
+            best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
+            yield pd.DataFrame({"query_id": np.repeat(np.array(names), best.shape[1]), id_col: batch["_id"].to_numpy()[best.ravel()], "distance": exact.ravel()})
+
+    schema = f"query_id {asked}, {id_col} {ids}, distance double"
+    if few:
+        held = [(p["query_id"], p["probe"]) for r in blocks.collect() for p in r["_probes"]]
+        if not held:
+            return base.sparkSession.createDataFrame([], schema)
+        names, q = [h[0] for h in held], np.array([h[1] for h in held], float)
+        sent = base.sparkSession.sparkContext.broadcast((names, q))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = sent.value
+            for batch in batches:
+                for a in range(0, len(names), PROBE_BLOCK):
+                    yield from score(iter([batch]), names[a : a + PROBE_BLOCK], q[a : a + PROBE_BLOCK])
+
+        found = rows.mapInPandas(search, schema)
+    else:
+        chunks = rows.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.lit(max(1, rows.count() // 8192)))).groupBy("_chunk").agg(F.collect_list(F.struct("_id", "_v")).alias("_rows"))
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for own, asked_ in zip(batch["_rows"], batch["_probes"], strict=True):
+                    frame = pd.DataFrame({"_id": [r["_id"] for r in own], "_v": [np.asarray(r["_v"]) for r in own]})
+                    yield from score(iter([frame]), [p["query_id"] for p in asked_], np.array([p["probe"] for p in asked_], float))
+
+        found = chunks.crossJoin(blocks).select("_rows", "_probes").mapInPandas(meet, schema)  # a stated query set against all rows, in blocks
+    return _best(found.withColumn("distance", F.round("distance", 6)), "query_id", F.asc("distance"), id_col, k)
 
 
 def context(rows: DataFrame, group: str, order: str, source: Column, snippet: Column, longest: int = 320) -> DataFrame:
@@ -74,12 +128,17 @@ def context(rows: DataFrame, group: str, order: str, source: Column, snippet: Co
     return gathered.select(group, F.array_join(F.transform("_x", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["l"])), "\n").alias("context"))
 
 
+#: Tokens up to which their counts are sent to every executor; beyond it a token of most documents is split where the join is skewed.
+SENT_TOKENS = 500_000
+
+
 def tfidf(df: DataFrame, id_col: str, text_col: str, least_df: int = 2, most_share: float = 0.8) -> DataFrame:
     """(id, token, tfidf) with tf * ln(N / df), for tokens of at least ``least_df`` and at most ``most_share`` of the documents."""
     tf = df.select(id_col, F.explode(text.tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count(F.lit(1)).alias("_n"))
+    tf = stored(tf)  # read twice
     docs = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") >= least_df) & (F.col("df") <= F.col("_n") * most_share))  # one row
-    return tf.join(docs, "token").select(id_col, "token", F.round(F.col("tf") * F.log(F.col("_n") / F.col("df")), 6).alias("tfidf"))
+    return tf.join(F.broadcast(docs) if docs.count() <= SENT_TOKENS else docs, "token").select(id_col, "token", F.round(F.col("tf") * F.log(F.col("_n") / F.col("df")), 6).alias("tfidf"))
 
 
 def manifest(df: DataFrame, name: str, content: str) -> DataFrame:

@@ -153,7 +153,16 @@ def extracted_events(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(made, "event_id").groupBy("layout").agg(F.count(F.lit(1)).alias("events"), F.count("cents").alias("valued"), F.count("payee_raw").alias("with_party"))
 
 
-@query("select notice_id, case when contains(lower(coalesce(dettaglio_url, '')), 'determina') then 'Determinazione' when contains(lower(coalesce(dettaglio_url, '')), 'delibera') then 'Delibera' else 'other' end as kind from notices")
-def file_name_type(spark: SparkSession, sf: str) -> DataFrame:
-    kind = extract.document_type(F.lit(""), F.regexp_replace(F.lower(F.coalesce("dettaglio_url", F.lit(""))), "(?s).*(determina|delibera).*", "$1"))
-    return table(spark, sf, "notices").select("notice_id", F.when(kind.isin("Determinazione", "Delibera") & F.lower(F.coalesce("dettaglio_url", F.lit(""))).rlike("determina|delibera"), kind).otherwise("other").alias("kind"))
+@query(
+    r"""with f as (select notice_id, lower(regexp_extract(unnest(allegati), '([^/?#]*)$', 1)) as name, lower(substring(coalesce(oggetto, ''), 1, 2500)) as h from notices)
+    select kind, count(*) as files from (select case when contains(name, 'vistocontabile') or contains(name, 'visto_contabile') then 'VistoContabile' when contains(name, 'attestazionepubblicazione') or contains(name, 'certificatopubblicazione') then 'AttestazionePubblicazione'
+      when contains(name, 'elencoelettori') or contains(name, 'elenco_') or contains(name, '_elenco') then 'Elenco' when contains(name, 'ordinanza') or contains(name, 'ordinanzesindacali') then 'Ordinanza' when contains(name, 'decreto') then 'Decreto' when contains(name, 'determina') then 'Determinazione'
+      when contains(name, 'delibera') then 'Delibera' when contains(name, 'bando') then 'Bando' when contains(name, 'avviso') then 'Avviso' when contains(h, 'visto di regolarità contabile') or contains(h, 'visto di regolarita contabile') then 'VistoContabile'
+      when contains(h, 'certificato di pubblicazione') or contains(h, 'attestazione di pubblicazione') then 'AttestazionePubblicazione' when contains(h, 'elenco dei cittadini') or contains(h, 'elenco elettori') then 'Elenco' when contains(h, 'ordinanza sindacale') or contains(h, 'ordinanza n.') then 'Ordinanza'
+      when contains(h, 'decreto sindacale') or contains(h, 'decreto n.') then 'Decreto' when contains(h, 'determina') then 'Determinazione' when contains(h, 'delibera') then 'Delibera' when contains(h, 'bando') then 'Bando' when contains(h, 'avviso') then 'Avviso' else 'unknown' end as kind from f) group by 1"""
+)
+def file_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Types of attached files, by their names or else by the notice's subject."""
+    files = table(spark, sf, "notices").select("oggetto", F.explode("allegati").alias("link"))
+    kind = extract.document_type(F.coalesce("oggetto", F.lit("")), F.regexp_extract("link", r"([^/?#]*)\z", 1))
+    return files.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("files"))

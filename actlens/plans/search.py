@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from actlens.functions.register import register_functions, register_tables
 from actlens.operators import learning, retrieval
 from actlens.plans.registry import query
-from actlens.session import shared_dir, ship, table
+from actlens.session import scratch, shared_dir, ship, table
 from actlens.sources import tables
 from actlens.streaming import notices as stream
 
@@ -91,10 +91,10 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     r"""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as token from documents where text is not null and text <> ''), tf as (select doc_id, token, count(*) as tf from t group by 1, 2),
     n as (select count(*) as n from documents where text is not null and text <> ''), df as (select token, count(*) as df from tf group by 1)
-    select doc_id, token, round(tf * ln(n / df), 6) as tfidf from tf join df using (token), n where df >= 20 and df <= n * 0.8"""
+    select doc_id, token, round(tf * ln(n / df), 6) as tfidf from tf join df using (token), n where df >= 2 and df <= n * 0.8"""
 )
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.tfidf(_documents(spark, sf), "doc_id", "text", 20, 0.8)
+    return retrieval.tfidf(_documents(spark, sf), "doc_id", "text", 2, 0.8)
 
 
 @query("select cast(doc_id as varchar) as name, length(text) as size, sha256(text) as sha256, 'old' as side from documents where text is not null and text <> '' and lang is null")
@@ -135,14 +135,14 @@ def adapter_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select notice_id, titolo, numero, oggetto from notices")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/csv_round_trip"
+    path = scratch(spark)
     table(spark, sf, "notices").select("notice_id", "titolo", "numero", "oggetto").write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return spark.read.csv(path, header=True, schema="notice_id bigint, titolo string, numero string, oggetto string", multiLine=True, escape='"', nullValue="\\N", emptyValue="")
 
 
 @query("select doc_id, source, text from documents")
 def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/jsonl_round_trip"
+    path = scratch(spark)
     table(spark, sf, "documents").select("doc_id", "source", "text").write.mode("overwrite").json(path)
     return tables.read_jsonl(spark, path, "doc_id bigint, source string, text string")
 
