@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actlens.session import cut_lineage, ship
+from actlens.session import cut_lineage, ship, stored
 
-#: The fitting sample: documents of each kind (about so many, with the least hashes), their passages that reach the driver, and features of a passage.
-SAMPLE_DOCS, SAMPLE_PASSAGES, PASSAGE_FEATURES = 1_500, 40_000, 200
+#: The fitting sample: documents looked at (about so many, with the least hashes), those taken of each kind, their passages that reach the driver, and features of a passage.
+SCAN_DOCS, SAMPLE_DOCS, SAMPLE_PASSAGES, PASSAGE_FEATURES = 15_000, 1_500, 40_000, 200
 EM_ROUNDS = 12
 #: Words that the record's feature counts for in each of its lines.
 RECORD_WEIGHT = 4
@@ -177,13 +177,15 @@ def fit_models(docs: DataFrame, text_col: str, *, sample_docs: int = SAMPLE_DOCS
     Executors turn the sampled documents into passages and count equal ones; at most ``sample_passages`` of each kind, by hash, reach the driver, none
     of more than ``PASSAGE_FEATURES`` features. Only the fit rests on a sample of bounded size; the documents themselves are all scored.
     """
+    steps = 1 << 20
+    looked = int(min(1.0, SCAN_DOCS / max(docs.count(), 1)) * steps)
     rows = docs.select(F.col(text_col).cast("string").alias("_text")).where(F.length(F.trim("_text")) > 0)
-    rows = rows.select("_text", F.xxhash64("_text").alias("_h"), (F.col("_text").rlike(TRUSTED_LINES.pattern) | F.col("_text").rlike(TRUSTED_TEXTS)).alias("_trusted"))
-    # one pass counts both kinds, a second one reads the shares of them that hold about ``sample_docs`` documents each
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64("_text"), F.lit(steps))).where(F.col("_h") < looked)
+    trusted = F.col("_text").rlike(TRUSTED_LINES.pattern) | F.col("_text").rlike(TRUSTED_TEXTS)
+    rows = stored(rows.withColumn("_trusted", trusted))  # about ``SCAN_DOCS`` texts, read twice
     known = {r["_trusted"]: r["count"] for r in rows.groupBy("_trusted").count().collect()}
-    steps = 1 << 20
-    share = {k: int(min(1.0, sample_docs / max(known.get(k, 0), 1)) * steps) for k in (True, False)}
-    picked = rows.where(F.pmod("_h", F.lit(steps)) < F.when(F.col("_trusted"), share[True]).otherwise(share[False])).select("_text")
+    share = {k: int(min(1.0, sample_docs / max(known.get(k, 0), 1)) * looked) for k in (True, False)}
+    picked = rows.where(F.col("_h") < F.when(F.col("_trusted"), share[True]).otherwise(share[False])).select("_text")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
