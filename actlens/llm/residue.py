@@ -24,6 +24,8 @@ from actlens.session import cut_lineage, ship, stored
 #: The fitting sample: documents looked at (about so many, with the least hashes), those taken of each kind, their passages that reach the driver, and features of a passage.
 SCAN_DOCS, SAMPLE_DOCS, SAMPLE_PASSAGES, PASSAGE_FEATURES = 15_000, 1_500, 40_000, 200
 EM_ROUNDS = 12
+#: Chance of being residue, after the first round, below which an unlabelled line is reliable content.
+RELIABLE = 0.01
 #: Words that the record's feature counts for in each of its lines.
 RECORD_WEIGHT = 4
 #: First guess for unlabelled passages: field-like spans are rare in acts and mostly residue, lines are nearly always content.
@@ -148,7 +150,7 @@ def fit(counted: dict[tuple[tuple[str, ...], int], int], rounds: int = EM_ROUNDS
     flat_a, owner_a = np.array(flat, np.int64), np.array(owner, np.int64)
     size = max(len(names), 1)
     p = np.where(labels > 0, 1.0, np.where(labels < 0, 0.0, start))
-    log_odds, prior = np.zeros(size), 0.0
+    log_odds, prior, settled = np.zeros(size), 0.0, False
     for _ in range(rounds):
         pos = np.bincount(flat_a, (p * weight)[owner_a], size) if len(flat) else np.zeros(size)
         neg = np.bincount(flat_a, ((1 - p) * weight)[owner_a], size) if len(flat) else np.zeros(size)
@@ -157,6 +159,9 @@ def fit(counted: dict[tuple[tuple[str, ...], int], int], rounds: int = EM_ROUNDS
         prior = math.log(start / (1 - start)) if balanced else math.log(((p * weight).sum() + 1) / (((1 - p) * weight).sum() + 1))
         z = prior + np.bincount(owner_a, log_odds[flat_a], len(rows)) if len(flat) else np.zeros(len(rows))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        if not balanced and not settled:
+            # what doesn't resemble the trusted residue at all is content from here on, so that rare kinds of content (other languages) don't drift
+            labels, settled = np.where((labels == 0) & (new < RELIABLE), -1, labels), True
         p = np.where(labels > 0, 1.0, np.where(labels < 0, 0.0, new))
     return Bayes({n: float(log_odds[i]) for n, i in names.items()}, prior, unseen)
 
