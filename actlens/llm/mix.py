@@ -17,6 +17,14 @@ BITS = 12
 SIDE = 1 << BITS
 
 
+#: Rows of a plan up to which it is sent to the documents; a larger one is joined, split where a source is large.
+SENT_ROWS = 50_000
+
+
+def _sent(plan: DataFrame) -> DataFrame:
+    return F.broadcast(plan) if plan.count() <= SENT_ROWS else plan
+
+
 def _hash24(key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(9), key), F.lit(SIDE * SIDE)).cast("int")
 
@@ -47,9 +55,9 @@ def mix_plan(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> Da
     keyed = sized.select("source", "n_tokens", _hash24(F.col(id_col)).alias("_h"))
     upper = keyed.groupBy("source", F.shiftright("_h", BITS).alias("_bucket")).agg(F.sum("n_tokens").alias("_tokens"))
     need = wanted.where(F.col("_rest") > 0).select("mix", "source", "_rest")
-    first = cut_lineage(_boundary(upper.join(need, "source"), "_rest", "_bucket").withColumn("_left", F.col("_rest") - F.col("_before")))
+    first = cut_lineage(_boundary(upper.join(_sent(need), "source"), "_rest", "_bucket").withColumn("_left", F.col("_rest") - F.col("_before")))
     edge = first.where(F.col("_at") < SIDE).select("mix", F.col("source").alias("_from"), F.col("_at").alias("_edge"), "_left")
-    lower = keyed.join(edge, (F.col("source") == F.col("_from")) & (F.shiftright("_h", BITS) == F.col("_edge"))).select("mix", "source", "_left", F.col("_h").bitwiseAND(SIDE - 1).alias("_bucket"), "n_tokens")
+    lower = keyed.join(_sent(edge), (F.col("source") == F.col("_from")) & (F.shiftright("_h", BITS) == F.col("_edge"))).select("mix", "source", "_left", F.col("_h").bitwiseAND(SIDE - 1).alias("_bucket"), "n_tokens")
     lower = lower.groupBy("mix", "source", "_left", "_bucket").agg(F.sum("n_tokens").alias("_tokens"))
     second = _boundary(lower, "_left", "_bucket")
     # the last bucket goes in if that comes closer to the budget
@@ -72,7 +80,7 @@ def select_mix(sized: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> Dat
     or one without a target are in no mix; a source without documents simply contributes nothing. Repeated rows of one id get equal copies.
     """
     extra = (_hash24(F.col(id_col)) < F.col("threshold")).cast("int")
-    joined = sized.join(plan.select("mix", "source", "whole", "threshold"), "source").withColumn("copies", F.col("whole") + extra)
+    joined = sized.join(_sent(plan.select("mix", "source", "whole", "threshold")), "source").withColumn("copies", F.col("whole") + extra)
     return joined.where(F.col("copies") > 0).select("mix", "source", id_col, "n_tokens", "copies")
 
 

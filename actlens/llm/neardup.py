@@ -294,15 +294,14 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, run: int, thresh
     return listed.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").distinct()
 
 
-def group_pairs(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def group_pairs(pairs: DataFrame) -> DataFrame:
     """(``record_id``, ``group_id``, ``links``): the connected groups of pairs, each under its smallest id, and every record's number of links."""
     both = cut_lineage(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(pairs.select(F.col("id_b").alias("a"), F.col("id_a").alias("b"))))
     label = cut_lineage(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root"), F.count(F.lit(1)).alias("links")))
-    for _ in range(rounds):
+    moved = True
+    while moved:
         heard = both.join(label.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         mid = label.join(heard, "a").select("a", "links", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
         new = cut_lineage(mid.join(label.select(F.col("a").alias("mid"), F.col("root").alias("far")), "mid", "left").select("a", "links", "was", F.least("mid", F.coalesce("far", "mid")).alias("root")))
-        label, moved = new.select("a", "root", "links"), new.where("root <> was").limit(1).count()
-        if not moved:
-            break
+        label, moved = new.select("a", "root", "links"), new.where("root <> was").limit(1).count() > 0
     return label.select(F.col("a").alias("record_id"), F.col("root").alias("group_id"), "links")

@@ -51,6 +51,18 @@ met as (select a.tbl, a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*)
 select tbl, id_a, id_b from met where c >= (na + nb - c) * case tbl when 'notices' then 0.7 else 0.6 end - 1e-9
 """
 
+P2_CLEANED = f"""
+with gone as (select event_id, list(line_no) as g from ({P2}) group by 1), cut as (select event_id, raw_text, string_split(raw_text, chr(10)) as l from admin_events)
+select event_id, case when g is null then raw_text else coalesce(array_to_string(list_filter(l, lambda x, i: not list_contains(g, i)), chr(10)), '') end as raw_text, cast(coalesce(len(g), 0) as bigint) as removed from cut left join gone using (event_id)
+"""
+
+P4_GROUPS = f"""
+with recursive pairs as ({P4}), both_ways as (select tbl, id_a as a, id_b as b from pairs union all select tbl, id_b, id_a from pairs),
+reach(tbl, id, root) as (select distinct tbl, a, a from both_ways union select r.tbl, r.id, e.b from reach r join both_ways e on r.tbl = e.tbl and r.root = e.a),
+heads as (select tbl, id, min(root) as group_id from reach group by 1, 2), degree as (select tbl, a as id, count(*) as links from both_ways group by 1, 2)
+select tbl, id as record_id, group_id, links from heads join degree using (tbl, id)
+"""
+
 P5 = "select event_id from admin_events where length(raw_text) > 3000"
 
-ORACLE = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}
+ORACLE = {"p1_found": P1, "p2_found": P2, "p2_cleaned": P2_CLEANED, "p4_found": P4, "p4_groups": P4_GROUPS, "p5_found": P5}
