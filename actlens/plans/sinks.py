@@ -9,7 +9,8 @@ from actlens.functions import arrays
 from actlens.operators import graph, learning, procedures, quality
 from actlens.operators.audit import audit
 from actlens.operators.views import ACTS_SQL, ATTACHMENTS_SQL, acts, attachments
-from actlens.plans.registry import query
+from actlens.plans import audit as _audit_queries  # noqa: F401  (registers the SQL of the audit)
+from actlens.plans.registry import ORACLE, query
 from actlens.plans.relations import _GRAPH_SQL, _edges
 from actlens.session import scratch, table
 from actlens.sources import sinks, tables
@@ -218,7 +219,7 @@ def domain_filter(spark: SparkSession, sf: str) -> DataFrame:
     return x.select(F.explode(F.array_compact(kinds)).alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"select atto_group, risk_score from ({ORACLE['audit_risk_score']})")
 def risk_order(spark: SparkSession, sf: str) -> DataFrame:
     """Acts by risk, the riskiest first, ties by key."""
     return audit(acts(spark, sf)).select("atto_group", "risk_score").orderBy(F.desc("risk_score"), "atto_group")

@@ -18,9 +18,9 @@ def test_query_matches_sql(name, spark, data, db):
     assert_same(QUERIES[name](spark, data), db, ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"rf_feedback_loop"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(name, spark, data):
-    assert QUERIES[name](spark, data).columns
+    QUERIES[name](spark, data).write.mode("overwrite").format("noop").save()
 
 
 def test_every_sql_has_a_query():
