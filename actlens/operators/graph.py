@@ -32,7 +32,7 @@ def edges(acts: DataFrame) -> DataFrame:
 
 def nodes(edge_rows: DataFrame) -> DataFrame:
     """(node_id, node_type, label): one row per node of the edges."""
-    ids = edge_rows.select(F.col("src").alias("node_id")).union(edge_rows.select("dst")).distinct()
+    ids = edge_rows.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     return ids.select("node_id", F.split_part("node_id", F.lit(":"), F.lit(1)).alias("node_type"), F.regexp_replace("node_id", "^[A-Z]+:", "").alias("label"))
 
 

@@ -75,8 +75,8 @@ def procedures_written(spark: SparkSession, sf: str) -> DataFrame:
 def gexf_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     edges, path = _edges(spark, sf), scratch(spark)
     sinks.write_graph(sinks.graph_lines(graph.nodes(edges), edges, "gexf"), path)
-    nodes, links = tables.read_gexf(spark, path)
-    return nodes.agg(F.lit("node").alias("kind"), F.count("node_id").alias("n")).unionByName(links.agg(F.lit("edge").alias("kind"), F.count("src").alias("n")))
+    counts = tables.gexf_elements(spark, path).agg(*(F.struct(F.lit(kind).alias("kind"), F.count(ident).alias("n")).alias(kind) for kind, ident in (("node", "node_id"), ("edge", "src"))))
+    return counts.select(F.inline(F.array("node", "edge")))
 
 
 @query(_GRAPH_SQL + "select relation, count(*) as n from edges group by 1")

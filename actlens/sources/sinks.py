@@ -66,6 +66,10 @@ def escaped(c: Column) -> Column:
     return c
 
 
+#: Parts of a graph document in their order.
+HEAD, NODES, BETWEEN, EDGES, FOOT = range(5)
+
+
 def graph_lines(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """(``part``, ``value``): a whole GEXF or GraphML document by lines; ``part`` orders header, nodes, edges and footer."""
     gexf = kind == "gexf"
@@ -73,17 +77,22 @@ def graph_lines(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     node = '<node id="%s" label="%s" type="%s"/>' if gexf else '<node id="%s"><data key="label">%s</data><data key="type">%s</data></node>'
     edge = '<edge source="%s" target="%s" label="%s"/>' if gexf else '<edge source="%s" target="%s"><data key="relation">%s</data></edge>'
     spark = nodes.sparkSession
-    fixed = [(0, x) for x in head] + [(1, "<nodes>")] * gexf + [(3, "</nodes><edges>")] * gexf + [(5, ("</edges>" if gexf else "") + f"</graph></{kind}>")]
+    fixed = [(HEAD, "\n".join(head + ["<nodes>"] * gexf))] + [(BETWEEN, "</nodes><edges>")] * gexf + [(FOOT, ("</edges>" if gexf else "") + f"</graph></{kind}>")]
+    line = lambda form, *columns: F.concat(*(x for k, text in enumerate(form.split("%s")) for x in ([columns[k - 1]] if k else []) + [F.lit(text)]))
+    text = lambda c: F.coalesce(escaped(F.col(c)), F.lit("null"))
     return (
         spark.createDataFrame(fixed, "part int, value string")
-        .unionByName(nodes.select(F.lit(2).alias("part"), F.format_string(node, escaped(F.col("node_id")), escaped(F.col("label")), F.col("node_type")).alias("value")))
-        .unionByName(edges.select(F.lit(4).alias("part"), F.format_string(edge, escaped(F.col("src")), escaped(F.col("dst")), F.col("relation")).alias("value")))
+        .unionByName(nodes.select(F.lit(NODES).alias("part"), line(node, text("node_id"), text("label"), text("node_type")).alias("value")))
+        .unionByName(edges.select(F.lit(EDGES).alias("part"), line(edge, text("src"), text("dst"), text("relation")).alias("value")))
     )
 
 
 def write_graph(lines: DataFrame, path: str) -> None:
-    """Part files that, read in order, are the document."""
-    lines.repartitionByRange("part").sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)
+    """Folders ``part=0``, ``part=1``... whose part files, read in order, are the document. Each part is written by all tasks that make it: no shuffle, no order within."""
+    system, folder = file_system(lines.sparkSession, path)
+    system.delete(folder, True)
+    for part in range(FOOT + 1):
+        lines.where(F.col("part") == part).select("value").write.text(f"{path}/part={part}")
 
 
 def typed_triples(nodes: DataFrame, edges: DataFrame, base: str = "urn:graph:") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -35,11 +35,40 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*.{pdf,php,p7m}") -
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def _quoted(name: str) -> Column:
+    """An attribute of the tag that ``value`` begins with, in its quotes; empty where the tag has none. Attributes before it are passed whole."""
+    return F.regexp_extract("value", rf"""^\w++(?:\s++[^\s=>"']++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*?\s++{name}\s*+=\s*+("[^"]*+"|'[^']*+')""", 1)
+
+
+def _unquoted(quoted: str) -> Column:
+    """What an attribute says, its entities replaced; null where there is none."""
+    text = plain = F.expr(f"substring({quoted}, 2, length({quoted}) - 2)")
+    for old, new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    numbered = F.xpath_string(F.concat(F.lit("<a b="), F.col(quoted), F.lit("/>")), F.lit("/a/@b"))
+    return F.when(F.contains(quoted, F.lit("&#")), numbered).when(F.contains(quoted, F.lit("&")), plain).when(F.col(quoted) != "", text)
+
+
+def gexf_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(``kind`` node/edge, ``node_id``, ``label``, ``src``, ``dst``) of a GEXF document, also of one in several files. The text is cut before every ``<``, which in XML
+    only begins a tag, so that files are split among tasks; a comment or CDATA that holds tags hides them, then whole files are read."""
+    cut = spark.read.option("lineSep", "<").text(path).select("value")
+    hides = F.col("value").startswith("!--") & ~F.contains("value", F.lit("-->")) | F.col("value").startswith("![CDATA[") & ~F.contains("value", F.lit("]]>"))
+    if not cut.where(hides).isEmpty():
+        whole = spark.read.text(path, wholetext=True, lineSep=None)
+        cut = whole.select(F.explode(F.split(F.regexp_replace("value", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", ""), "<")).alias("value"))
+    kind = F.substring("value", 1, 4)
+    found = cut.select("value", kind.alias("kind")).where(kind.isin("node", "edge") & F.substring("value", 5, 1).isin(*" \t\r\n/>"))
+    node = F.col("kind") == "node"
+    found = found.select("kind", *(F.when(node, _quoted(mine)).otherwise(_quoted(theirs)).alias(mine) for mine, theirs in (("id", "source"), ("label", "target"))))
+    columns = (("node_id", node, "id"), ("label", node, "label"), ("src", ~node, "id"), ("dst", ~node, "label"))
+    return found.select("kind", *(F.when(kind, _unquoted(quoted)).alias(name) for name, kind, quoted in columns))
+
+
 def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a GEXF file."""
-    nodes = spark.read.format("xml").option("rowTag", "node").load(path).select(F.col("_id").cast("string").alias("node_id"), F.col("_label").cast("string").alias("label"))
-    edges = spark.read.format("xml").option("rowTag", "edge").load(path).select(F.col("_source").cast("string").alias("src"), F.col("_target").cast("string").alias("dst"))
-    return nodes, edges
+    found = gexf_elements(spark, path)
+    return found.where("kind = 'node'").select("node_id", "label"), found.where("kind = 'edge'").select("src", "dst")
 
 
 def markdown_schema(text: str) -> dict[str, str]:

@@ -1,11 +1,12 @@
 """Facts about operators on small fixtures."""
 
 import datetime
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
 from actlens.operators import audit, dedup, extract, graph, procedures, quality, retrieval, rollup
-from actlens.sources import tables
+from actlens.sources import sinks, tables
 
 EVENT = "event_id long, ente string, event_type string, title string, document_date timestamp, economic_value double, cig string, cup string, actors array<struct<name:string,actor_type:string,role:string,area:string>>"
 
@@ -116,6 +117,32 @@ def test_gexf(spark, tmp_path):
     assert [tuple(r) for r in edges.collect()] == [("1", "2")]
 
 
+def test_gexf_of_several_files_is_read_whole(spark, tmp_path):
+    names = [f'A & <B{i}> "x"' for i in range(60)]
+    edges = spark.createDataFrame([(f"ATTO:{n}", f"BEN:{i:03}", "LIQUIDA") for i, n in enumerate(names)], "src string, dst string, relation string").repartition(5)
+    sinks.write_graph(sinks.graph_lines(graph.nodes(edges), edges, "gexf"), str(tmp_path / "g"))
+    files = sorted((tmp_path / "g").glob("part=*/part-*"))
+    assert len({f.parent for f in files}) == 5 and sum(f.parent.name == "part=3" for f in files) > 1
+    (tmp_path / "one.gexf").write_text("".join(f.read_text() for f in files))
+    assert len(ElementTree.parse(tmp_path / "one.gexf").findall(".//edge")) == 60
+    for path in ("g", "one.gexf"):
+        nodes, links = tables.read_gexf(spark, str(tmp_path / path))
+        assert {r["label"] for r in nodes.collect()} == {*names, *(f"{i:03}" for i in range(60))}
+        assert {tuple(r) for r in links.collect()} == {(f"ATTO:{n}", f"BEN:{i:03}") for i, n in enumerate(names)}
+
+
+def test_gexf_of_others(spark, tmp_path):
+    text = """<gexf><!-- <node id="0" label="hidden"/> --><graph><nodes count="2"><node label='a id="7" > b' id = '007'><attvalues/></node>
+    <node
+      id="8"/><nodeX id="9"/></nodes><edges><edge id="0" weight="1" target="8" source="caff&#232;"/></edges></graph></gexf>"""
+    (tmp_path / "g.gexf").write_text(text)
+    nodes, edges = tables.read_gexf(spark, str(tmp_path / "g.gexf"))
+    assert sorted(tuple(r) for r in nodes.collect()) == [("007", 'a id="7" > b'), ("8", None)]
+    assert [tuple(r) for r in edges.collect()] == [("caffè", "8")]
+    (tmp_path / "e.gexf").write_text("<gexf><graph><nodes/><edges/></graph></gexf>")
+    assert [x.count() for x in tables.read_gexf(spark, str(tmp_path / "e.gexf"))] == [0, 0]
+
+
 def test_conform_and_report(spark):
     df = spark.createDataFrame([("1", "x")], "a string, b string")
     assert quality.conform(df, {"a": "int", "c": "double"}).first().asDict() == {"a": 1, "c": None}
