@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlens.llm.lookup import SortedWords
 from actlens.llm.persons import COMMON_GIVEN, COMMON_TRADES, NICKNAMES, SENTINELS, Lexicon, Parts, fold, nickname, parse, typo
 from actlens.session import cut_lineage, ship
 
@@ -35,7 +36,7 @@ EM_ROUNDS, GUESS_WEIGHT = 3, 100
 TYPO_LETTERS = 4
 #: Spellings of one block up to which all of them are compared; a larger block is split by what else the names hold.
 BLOCK_SPELLINGS = 300
-#: Given names and trades sent to the executors at most; beyond it the number of partners that a word needs is doubled.
+#: Given names and trades held in memory at most; beyond it they are searched in sorted files.
 LEXICON_ROWS = 50_000
 
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -171,7 +172,7 @@ def spellings(columns: list[DataFrame]) -> DataFrame:
 
 
 def learn_lexicon(names: DataFrame) -> Lexicon:
-    """Given names and trades: words with many different partners. The tables collected hold words above the floor of partners only."""
+    """Given names and trades: words with many different partners, and the floor for small corpora. Beyond ``LEXICON_ROWS`` all of them go to sorted files."""
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,20 +191,18 @@ def learn_lexicon(names: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.bool_()), pa.array(word, pa.string()), pa.array(mate, pa.string())], names=["firm", "word", "mate"])
 
     found = names.select("name").mapInArrow(partners, "firm boolean, word string, mate string").distinct().groupBy("firm", "word").agg(F.count(F.lit(1)).alias("n"))
-    found = cut_lineage(found.where(F.col("n") >= F.when(F.col("firm"), TRADE_PARTNERS).otherwise(GIVEN_PARTNERS)))
-    least = 0
-    while found.where(F.col("n") >= least).count() > LEXICON_ROWS:
-        least = max(2 * least, 2 * GIVEN_PARTNERS)
-    kept = found.where(F.col("n") >= least).toLocalIterator()
-    given, trades = set(COMMON_GIVEN), set(COMMON_TRADES)
+    found = found.where(F.col("n") >= F.when(F.col("firm"), TRADE_PARTNERS).otherwise(GIVEN_PARTNERS))
     skip = {"societa", "cooperativa", "fratelli", "ditta", "impresa", "onlus", "coop", "liquidazione", "capogruppo", "responsabilita", "limitata", "azioni", "spett", "sede", "operativa", "flli", "collettivo", "accomandita", "semplice", "nome", "dott", "arch", "geom", "prof"}
-    both: dict[str, list] = {}
-    for r in kept:
-        both.setdefault(r["word"], []).append((r["n"], r["firm"]))
-    for word, seen in both.items():
-        if word not in skip:
-            (trades if max(seen)[1] else given).add(word)
-    return Lexicon(frozenset(given - trades), frozenset(trades))
+    learned = found.where(~F.col("word").isin(*skip)).groupBy("word").agg(F.max(F.struct("n", "firm"))["firm"].alias("trade"))
+    floor = names.sparkSession.createDataFrame([(w, False) for w in sorted(COMMON_GIVEN)] + [(w, True) for w in sorted(COMMON_TRADES)], "word string, trade boolean")
+    kinds = cut_lineage(learned.unionByName(floor).groupBy("word").agg(F.max("trade").alias("trade")))
+    if kinds.count() <= LEXICON_ROWS:
+        kept = kinds.collect()
+        return Lexicon(*(frozenset(r["word"] for r in kept if r["trade"] == trade) for trade in (False, True)))
+    given, trades = (kinds.where(F.col("trade") == trade).select("word", F.lit(1).alias("n")) for trade in (False, True))
+    parts = F.expr("array_append(transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1))), word)")
+    edits = trades.select(F.explode(F.array_distinct(parts)).alias("part"), "word").select(F.concat("part", F.lit("\0"), "word").alias("word"), F.lit(1).alias("n"))
+    return Lexicon(SortedWords(given), SortedWords(trades), SortedWords(edits))
 
 
 def attach(names: DataFrame, lexicon: Lexicon) -> DataFrame:

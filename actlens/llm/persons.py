@@ -9,6 +9,8 @@ from functools import lru_cache
 
 import regex
 
+from actlens.llm.lookup import SortedWords
+
 #: Frequent given names, a floor for corpora too small to learn from (fixed values).
 COMMON_GIVEN = frozenset(
     """agnese alberto aldo alessandra alessandro alessia alice andrea angela angelo anna antonella antonia antonio barbara bartolomeo beatrice bruno camilla carla carlo carmela
@@ -54,10 +56,29 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
+def without_one(word: str) -> list[str]:
+    """The word, and it without one of its letters: two words within one edit share one of these."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
 @dataclass
 class Lexicon:
-    given: frozenset = COMMON_GIVEN
-    trades: frozenset = COMMON_TRADES
+    """Sets of words; large ones are sorted files, and then ``edits`` has each trade behind each of ``without_one`` and a null character."""
+
+    given: frozenset | SortedWords = COMMON_GIVEN
+    trades: frozenset | SortedWords = COMMON_TRADES
+    edits: SortedWords | None = None
+
+    def begins_trade(self, word: str) -> bool:
+        if self.edits is None:
+            return any(t.startswith(word) for t in self.trades)
+        return next(self.trades.starting(word), None) is not None
+
+    def near_trade(self, word: str) -> bool:
+        """Whether a trade is one edit away."""
+        if self.edits is None:
+            return any(typo(word, t, 1) for t in self.trades)
+        return any(typo(word, key.partition("\0")[2], 1) for part in without_one(word) for key in self.edits.starting(part + "\0"))
 
 
 @dataclass
@@ -92,7 +113,7 @@ def parse(name: str, lexicon: Lexicon) -> Parts:
             continue
         if len(w) == 1:
             out.initials.append(w)
-        elif w in lexicon.trades or (dotted and len(w) >= 2 and any(t.startswith(w) for t in lexicon.trades)):
+        elif w in lexicon.trades or (dotted and len(w) >= 2 and lexicon.begins_trade(w)):
             out.trades.append(w)
         else:
             out.words.append(w)
@@ -100,7 +121,7 @@ def parse(name: str, lexicon: Lexicon) -> Parts:
         out.firm = True
     if out.firm:
         for w in list(out.words):
-            if len(out.words) > 1 and len(w) >= 5 and any(typo(w, t, 1) for t in lexicon.trades):
+            if len(out.words) > 1 and len(w) >= 5 and lexicon.near_trade(w):
                 out.words.remove(w)
                 out.trades.append(w)
     out.words = list(dict.fromkeys(out.words))

@@ -70,3 +70,20 @@ def test_long_names_are_compared_too():
     long, typed = (parse(x, lexicon) for x in ("Maria Anna Lucia Paola Elena Vanderbrugghen", "Maria Anna Lucia Paola Elena Vanderbruggen"))
     cost, ops = names.channel(typed, long, lexicon)
     assert cost == names.FIRST_COSTS[names.TYPO] and names.operations(ops)[names.TYPO] == 1
+
+
+def test_lexicons_beyond_the_bound_are_whole(spark, monkeypatch):
+    """Words of few partners count too, whether the lexicon is held in memory or in files."""
+    rows = [(f"{g} {s}adretti",) for g in ("Quirzio", "Zelmira") for s in ("Bol", "Car", "Dem", "Fas", "Gol", "Hur", "Mev", "Nir", "Pod")]
+    rows += [(f"{s}adretti {t} S.r.l.",) for t in ("Ferramenta", "Lavanderie") for s in ("Bol", "Car", "Dem", "Fas", "Gol", "Hur", "Mev", "Nir", "Pod")]
+    rows += [("Boladretti Ferramneta S.r.l.",), ("Boladretti Ferr. S.r.l.",), ("Boladretti Lavanderi",), ("Quir. Boladretti",), ("Zelmira Boladreti",), ("Boladretti S.r.l.",)]
+    df = spark.createDataFrame(rows, "name string")
+    held, before = names.learn_lexicon(df), {tuple(r) for r in names.variant_pairs([df]).collect()}
+    assert {"quirzio", "zelmira"} <= held.given and {"ferramenta", "lavanderie"} <= held.trades and not held.given & held.trades
+    monkeypatch.setattr(names, "LEXICON_ROWS", 3)
+    filed = names.learn_lexicon(df)
+    assert filed.given.size == len(held.given) and filed.trades.size == len(held.trades)
+    words = {w for (n,) in rows for w in parse(n, held).words} | held.given | held.trades | {"ferramneta", "lavanderi", "ferramentaa", "feramenta", "x"}
+    for w in words:
+        assert (w in filed.given, w in filed.trades, filed.near_trade(w), filed.begins_trade(w[:4])) == (w in held.given, w in held.trades, held.near_trade(w), held.begins_trade(w[:4])), w
+    assert {tuple(r) for r in names.variant_pairs([df]).collect()} == before and before
