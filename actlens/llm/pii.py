@@ -19,13 +19,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actlens.llm.lookup import SortedWords, word_set
 from actlens.llm.persons import COMMON_GIVEN, COMMON_TRADES, TITLES, fold
 from actlens.session import cut_lineage, ship
 
 #: Bits of information about a person from which a term counts as a given name, and occurrences it needs.
 DISCLOSURE_BITS, LEAST_OCCURRENCES = 1.5, 12
-#: A word is common, and so no surname, from this share of the texts; and the bound of the table of common words.
-COMMON_SHARE, COMMON_ROWS = 0.001, 200_000
+#: A word is common, and so no surname, from this share of the texts.
+COMMON_SHARE = 0.001
+#: Common words and given names held in memory at most; beyond it they are searched in sorted files.
+COMMON_ROWS, GIVEN_ROWS = 200_000, 20_000
 #: A frequent term is a surname if this share of its runs, and so many at least, have it in a surname's place.
 SURNAME_SHARE, SURNAME_RUNS = 0.5, 3
 
@@ -93,7 +96,7 @@ _ELIDED = re.compile(r"(?:l|un|al?l|dal?l|del?l|nel?l|sul?l|col?l|quel?l)['’]"
 
 
 class Lexicon:
-    def __init__(self, given: frozenset, common: frozenset):
+    def __init__(self, given: frozenset | SortedWords, common: frozenset | SortedWords):
         self.given, self.common = given, common
 
 
@@ -270,7 +273,10 @@ def _stats(words: Counter, company: dict[str, list[int]]) -> pa.RecordBatch:
 
 
 def learn_lexicon(texts: DataFrame) -> Lexicon:
-    """Given names: terms whose company discloses a person by at least ``DISCLOSURE_BITS``; common words: those of many texts. Terms that mostly stand in a surname's place are neither."""
+    """Given names: terms whose company discloses a person by at least ``DISCLOSURE_BITS``; common words: those of many texts. Terms that mostly stand in a surname's place are neither.
+
+    All of them are kept: tables beyond their bound go to sorted files.
+    """
     counts = cut_lineage(term_counts(texts).where((F.col("n") >= 3) | (F.col("person") >= 3)))
     total = texts.count()
     sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("person", "firm", "other"))).first()
@@ -279,14 +285,13 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
     seen = F.col("person") + F.col("firm") + F.col("other")
     bits = F.log2((F.col("person") + F.lit(0.5)) / (seen + F.lit(1.0)) / F.lit(prior))
     surname = (F.col("surname") >= SURNAME_RUNS) & (F.col("surname") >= seen * SURNAME_SHARE)
-    revealing = counts.where(~surname & (seen >= LEAST_OCCURRENCES) & (bits >= min(DISCLOSURE_BITS, math.log2(1 / prior) * 0.6)) & (F.col("firm") * 4 < seen) & (F.length("term") > 2))
-    least = max(4.0, COMMON_SHARE * total)
-    while counts.where(F.col("n") >= least).count() > COMMON_ROWS:
-        least *= 2
-    common = {r["term"] for r in counts.where((F.col("n") >= least) & ~surname).select("term").toLocalIterator()}
-    given = {r["term"] for r in revealing.orderBy(F.desc("person"), "term").limit(20_000).select("term").toLocalIterator()}
-    given = {g for g in given if g not in COMMON_TRADES and g not in TITLES}
-    return Lexicon(frozenset(given | COMMON_GIVEN), frozenset(common - given - COMMON_GIVEN))
+    revealing = ~surname & (seen >= LEAST_OCCURRENCES) & (bits >= min(DISCLOSURE_BITS, math.log2(1 / prior) * 0.6)) & (F.col("firm") * 4 < seen) & (F.length("term") > 2)
+    revealing = F.coalesce(revealing, F.lit(False)) & ~F.col("term").isin(*COMMON_TRADES, *TITLES)
+    known = F.col("term").isin(*COMMON_GIVEN)
+    floor = texts.sparkSession.createDataFrame([(g,) for g in sorted(COMMON_GIVEN)], "term string")
+    given = counts.where(revealing & ~known).select("term").unionByName(floor)
+    common = counts.where((F.col("n") >= max(4.0, COMMON_SHARE * total)) & ~surname & ~revealing & ~known).select("term")
+    return Lexicon(word_set(given, GIVEN_ROWS), word_set(common, COMMON_ROWS))
 
 
 def _each(df: DataFrame, id_col: str, text_col: str, lexicon: Lexicon, schema: str, rows_of) -> DataFrame:

@@ -68,3 +68,21 @@ def test_both_tables_are_sanitised(spark, tmp_path):
     spark.createDataFrame([(1, "Contributo al sig. Mario Zolbrecanti, tel. 303 3049849"), (3, None)], "notice_id long, oggetto string").write.parquet(f"{tmp_path}/notices.parquet")
     got = {(r["tbl"], r["row_id"]): r["text"] for r in queries.p6_sanitised(spark, str(tmp_path)).collect()}
     assert got == {("admin_events", 1): "Firmato [NAME]", ("admin_events", 2): None, ("notices", 1): "Contributo al sig. [NAME], tel. [PHONE]", ("notices", 3): None}
+
+
+def test_lexicons_beyond_the_bound_are_whole(spark, monkeypatch):
+    """Neither the less frequent given names nor the less frequent common words are left out, in memory or in files."""
+    given = [f"{a}{b}io" for a in ("Quirz", "Zelmur", "Voltr", "Ferdz") for b in ("al", "en", "ot")]
+    rows = [(f"Il richiedente {g} {chr(65 + k)}olbrecanti{'aeiou'[i % 5]}tti presenta domanda. La nostra pratica{'bcdfg'[k % 5]} segue.",) for i, g in enumerate(given) for k in range(14 + 2 * i)]
+    rows += [("viene citato Ufficio Tecnico Comunale e poi Settore Lavori Pubblici, come si legge.",)] * 400
+    df = spark.createDataFrame(rows, "t string")
+    held = pii.learn_lexicon(df)
+    assert {g.lower() for g in given} <= held.given and {"domanda", "presenta", "nostra"} <= held.common and not held.given & held.common
+    monkeypatch.setattr(pii, "COMMON_ROWS", 4)
+    monkeypatch.setattr(pii, "GIVEN_ROWS", 4, raising=False)
+    filed = pii.learn_lexicon(df)
+    for w in held.given | held.common | {"zolbrecanti", "x", ""}:
+        assert (w in filed.given, w in filed.common) == (w in held.given, w in held.common), w
+    table = df.selectExpr("monotonically_increasing_id() as i", "t")
+    found = [sorted(map(tuple, pii.find_personal(table, "i", "t", lexicon=x).collect())) for x in (held, filed)]
+    assert found[0] == found[1] and len(found[0]) >= 250
