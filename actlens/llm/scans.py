@@ -20,10 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actlens.llm.lookup import SortedWords, word_counts
 from actlens.session import cut_lineage, ship
 
-#: Word counts are kept from this number of occurrences in unscanned texts; raised if the lexicon would grow beyond its bound.
-LEAST_COUNT, LEXICON_WORDS = 3, 300_000
+#: Word counts are kept from this number of occurrences in unscanned texts.
+LEAST_COUNT = 3
+#: Words, and runs of letters in names, held in memory at most; beyond it they are searched in sorted files.
+LEXICON_WORDS, NAME_GRAMS = 300_000, 60_000
 #: What scanners read -> what was printed (fixed values).
 MISREAD = (("0", "o"), ("1", "l"), ("1", "i"), ("2", "z"), ("5", "s"), ("6", "b"), ("9", "g"), ("@", "a"), ("|", "i"), ("|", "l"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("m", "rn"), ("c", "e"), ("f", "t"), ("l", "i"), ("i", "l"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"))
 #: Costs of the decoder: a misread sign, an unknown word, and splitting a token.
@@ -117,10 +120,10 @@ def furniture(lines: list[str]) -> dict[int, str]:
 class Model:
     """Word counts of unscanned texts and letter statistics of names."""
 
-    counts: dict = field(default_factory=dict)
+    counts: dict | SortedWords = field(default_factory=dict)
     total: int = 1
-    grams: dict = field(default_factory=dict)
-    heads: dict = field(default_factory=dict)
+    grams: dict | SortedWords = field(default_factory=dict)
+    heads: dict | SortedWords = field(default_factory=dict)
     names: int = 0
 
     def cost(self, word: str) -> float:
@@ -387,7 +390,8 @@ def _paragraphs(lines: list[str], out: list[tuple[int, str, str]], skip: dict[in
 
 
 def learn_model(texts: DataFrame) -> Model:
-    """Word counts and letter statistics from all unscanned texts of ``texts`` (one string column). Words below the count never reach the driver."""
+    """Word counts and letter statistics from all unscanned texts of ``texts`` (one string column). Words below the count never reach the driver; all
+    others count, in sorted files where they are too many for memory."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -406,18 +410,14 @@ def learn_model(texts: DataFrame) -> Model:
 
     found = cut_lineage(texts.where(F.col(texts.columns[0]).isNotNull()).mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     low = found.groupBy(F.lower("w").alias("w")).agg(F.sum("n").alias("n"))
-    total, least = found.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0], LEAST_COUNT
-    low = cut_lineage(low.where(F.col("n") >= least))
-    while low.where(F.col("n") >= least).count() > LEXICON_WORDS:
-        least *= 2
-    counts = {r["w"]: r["n"] for r in low.where(F.col("n") >= least).toLocalIterator()}
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    low = cut_lineage(low.where(F.col("n") >= LEAST_COUNT))
     shaped = found.where(F.col("w").rlike(r"^\p{Lu}\p{Ll}{3,}$")).select(F.lower("w").alias("w")).distinct().join(low.where(F.col("n") >= 30).select("w"), "w", "left_anti")
     grams = shaped.select(F.explode(F.expr("transform(sequence(1, length(w) + 1), i -> substring(concat('^^', w, '$'), i, 3))")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    table = {r["g"]: r["n"] for r in grams.orderBy(F.desc("n"), "g").limit(60_000).collect()}  # letters of one alphabet: a bounded table
-    heads: Counter = Counter()
-    for g, n in table.items():
-        heads[g[:2]] += n
-    return Model(counts, max(total, 1), table, dict(heads), heads.get("^^", 0))
+    grams = cut_lineage(grams)
+    heads = cut_lineage(grams.groupBy(F.substring("g", 1, 2).alias("h")).agg(F.sum("n").alias("n")))
+    found_heads = word_counts(heads, NAME_GRAMS)
+    return Model(word_counts(low, LEXICON_WORDS), max(total, 1), word_counts(grams, NAME_GRAMS), found_heads, found_heads.get("^^", 0))
 
 
 def _compounds(words: Counter, text: str) -> None:

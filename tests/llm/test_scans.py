@@ -56,3 +56,23 @@ def test_very_long_tokens_and_streams_end():
     model = lexicon_of("la casa")
     assert scans.repair("l" * 50_000 + " la casa", model, {}).damage == []
     assert len(scans.repair("la casa\n" * 20_000, model, {}).paragraphs) >= 1
+
+
+def test_lexicons_beyond_the_bound_are_whole(spark, monkeypatch):
+    """Words seen three times count beside frequent ones, and so do all runs of letters in names, in memory or in files."""
+    rare = [f"{a}{b}{c}mento" for a in ("bra", "cre", "dro", "fli") for b in ("ma", "ne", "po") for c in ("sti", "tra")]
+    rows = [("il parere del comune sui lavori " + "della spesa prevista " * 9 + w + " Ros" + w[:5] + "etti",) for w in rare for _ in range(3)]
+    broken = "\n".join(["il parere del comune sui", f"lavori {rare[0][:5]}-", f"{rare[0][5:]} della spesa", f"prevista {rare[5].replace('e', 'c')} della", "spesa del cornune"])
+    df = spark.createDataFrame([*rows, (broken,)], "t string")
+    held = scans.learn_model(df)
+    assert {held.counts[w] for w in rare} == {3} and held.names == len({w[:5] for w in rare})
+    monkeypatch.setattr(scans, "LEXICON_WORDS", 5)
+    monkeypatch.setattr(scans, "NAME_GRAMS", 5, raising=False)
+    filed = scans.learn_model(df)
+    for mine, theirs in ((held.counts, filed.counts), (held.grams, filed.grams), (held.heads, filed.heads)):
+        assert theirs.size == len(mine) and all(theirs[w] == n for w, n in mine.items())
+    assert "x" not in filed.counts and filed.counts.get("", 0) == 0 and filed.names == held.names
+    table = df.selectExpr("monotonically_increasing_id() as event_id", "t as raw_text")
+    in_files = sorted(map(tuple, scans.find_damage(table).collect()))
+    monkeypatch.undo()
+    assert sorted(map(tuple, scans.find_damage(table).collect())) == in_files and {r[2] for r in in_files} == {"HYPHEN", "CHAR"}
